@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, sharding, simhash, token_store
+from . import mixing, packing, quality, secrets, sharding, simhash, token_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,16 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(found).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forest = secrets.train(secrets.labelled_findings(spark))
+    return secrets.findings(_table(spark, sf_dir, "documents"), forest)
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rated = quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return rated.select("doc_id", "scores.*", "keep")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(_table(spark, sf_dir, "documents"))
 
@@ -39,6 +49,8 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op5_token_output": op5_token_output,
     "op7_packing": op7_packing,
+    "op8_secret_scan": op8_secret_scan,
+    "op9_quality": op9_quality,
     "op10_simhash": op10_simhash,
 }
 
