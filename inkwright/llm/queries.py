@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, secrets, sharding, simhash, token_store
+from . import mixing, packing, quality, secrets, sharding, simhash, token_store, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +21,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(mixing.mix(_table(spark, sf_dir, "documents")))
 
 
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments = token_store.write_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     return token_store.read_tokens(segments).select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -47,6 +52,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_mixing": op2_mixing,
+    "op3_exact_topk": op3_exact_topk,
     "op5_token_output": op5_token_output,
     "op7_packing": op7_packing,
     "op8_secret_scan": op8_secret_scan,
@@ -56,4 +62,5 @@ QUERIES = {
 
 ORACLES = {
     "op2_mixing": mixing.ORACLE_SQL,
+    "op3_exact_topk": topk.ORACLE_SQL,
 }
