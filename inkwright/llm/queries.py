@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, secrets, sharding, simhash, token_store, topk
+from . import embed_dedup, mixing, packing, quality, secrets, sharding, simhash, token_store, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_tokens(segments).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.link(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = packing.pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     return packing.pack(found).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -54,6 +58,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_exact_topk": op3_exact_topk,
     "op5_token_output": op5_token_output,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op7_packing": op7_packing,
     "op8_secret_scan": op8_secret_scan,
     "op9_quality": op9_quality,
@@ -63,4 +68,5 @@ QUERIES = {
 ORACLES = {
     "op2_mixing": mixing.ORACLE_SQL,
     "op3_exact_topk": topk.ORACLE_SQL,
+    "op6_embedding_dedup": embed_dedup.ORACLE_SQL,
 }
