@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embed_dedup, mixing, packing, quality, secrets, sharding, simhash, token_store, topk
+from . import embed_dedup, mixing, packing, quality, secrets, sharding, simhash, substring_dedup, token_store, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(substring_dedup.remove_repeats(_table(spark, sf_dir, "documents")))
+
+
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments = token_store.write_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     return token_store.read_tokens(segments).select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -57,6 +61,7 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_mixing": op2_mixing,
     "op3_exact_topk": op3_exact_topk,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_token_output": op5_token_output,
     "op6_embedding_dedup": op6_embedding_dedup,
     "op7_packing": op7_packing,
