@@ -20,6 +20,19 @@ SAMPLE, SAMPLE_PACK = 20_000, 64
 LAST = np.iinfo(np.int64).max
 
 
+def _shrink(data: bytes) -> bytes:
+    """What is exchanged or written is compressed here: better than a shuffle's own codec does."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=3).compress(data)
+
+
+def _grow(data: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 def _pack(batches: Iterator) -> Iterator:
     """Whole documents gathered to packs: pack (uid of its first document), docs, sizes, data."""
     import pyarrow as pa
@@ -27,7 +40,7 @@ def _pack(batches: Iterator) -> Iterator:
     uids, docs, parts, held = [], [], [], 0
 
     def flush():
-        out = [pa.array([uids[0]], pa.int64()), pa.array([list(docs)], pa.list_(pa.int64())), pa.array([[len(p) for p in parts]], pa.list_(pa.int64())), pa.array([b"".join(parts)], pa.binary()), pa.array([held], pa.int64())]
+        out = [pa.array([uids[0]], pa.int64()), pa.array([list(docs)], pa.list_(pa.int64())), pa.array([[len(p) for p in parts]], pa.list_(pa.int64())), pa.array([_shrink(b"".join(parts))], pa.binary()), pa.array([held], pa.int64())]
         uids.clear(), docs.clear(), parts.clear()
         return pa.RecordBatch.from_arrays(out, ["pack", "docs", "sizes", "data", "bytes"])
 
@@ -54,7 +67,7 @@ class _Pack:
         self.docs = np.array([LAST if d is None else d for d in docs], np.int64)
         self.sizes = np.array(sizes, np.int64)
         self.ends = np.cumsum(self.sizes)
-        self.data = np.frombuffer(data, np.uint8)
+        self.data = np.frombuffer(_grow(data), np.uint8)
         self.pos, self.first, self.last, self.hash = suffixes.anchors(self.data, self.ends)
         self.doc = self.docs[np.searchsorted(self.ends, self.first, side="right")]
         self.values, self.rank = np.unique(self.hash, return_inverse=True)
@@ -151,7 +164,7 @@ def _suffixes(buckets: int, splitters: list[bytes]):
                 _, _, rows, least = _Pack(r["docs"], r["sizes"], r["data"]).shared(r["masks"], buckets)
                 edges = _cuts(rows, splitters)
                 full = [i for i in range(len(edges) - 1) if edges[i] < edges[i + 1]]
-                pick = lambda x: pa.array([x[edges[i] : edges[i + 1]].tobytes() for i in full], pa.binary())
+                pick = lambda x: pa.array([_shrink(x[edges[i] : edges[i + 1]].tobytes()) for i in full], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([r["pack"]] * len(full), pa.int64()), pick(rows), pick(least)], ["range", "pack", "frames", "docs"])
 
     return run
@@ -171,9 +184,10 @@ def _compare(key, table):
 
     from . import suffixes
 
-    rows = np.frombuffer(b"".join(table.column("frames").to_pylist()), np.uint8).reshape(-1, suffixes.FRAME)
-    docs = np.frombuffer(b"".join(table.column("docs").to_pylist()), np.int64)
-    sizes = [len(x) // 8 for x in table.column("docs").to_pylist()]
+    rows = np.frombuffer(b"".join(_grow(x.as_py()) for x in table.column("frames")), np.uint8).reshape(-1, suffixes.FRAME)
+    docs = [_grow(x) for x in table.column("docs").to_pylist()]
+    sizes = [len(x) // 8 for x in docs]
+    docs = np.frombuffer(b"".join(docs), np.int64)
     bits = suffixes.first_documents(rows, docs)
     parts = np.split(bits, np.cumsum(sizes)[:-1])
     return pa.table({"pack": table.column("pack"), "range": table.column("range"), "bits": pa.array([x.tobytes() for x in parts], pa.binary())})
