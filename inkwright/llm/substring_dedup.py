@@ -14,7 +14,7 @@ from .common import materialize, release
 #: Bytes of text that are handled at once; a longer document stands alone.
 PACK = 4 << 20
 #: Bytes of text behind a bucket of hashes, or a range of suffixes.
-BUCKET = 48 << 20
+BUCKET = 24 << 20
 #: Leading bytes sampled for splitters, over all packs and in a pack.
 SAMPLE, SAMPLE_PACK = 20_000, 64
 LAST = np.iinfo(np.int64).max
@@ -58,6 +58,12 @@ def _pack(batches: Iterator) -> Iterator:
         yield flush()
 
 
+def _rows(batch) -> Iterator[dict]:
+    """Rows one by one, so that only one pack is held besides the batch."""
+    for i in range(batch.num_rows):
+        yield {name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names)}
+
+
 class _Pack:
     """A pack's anchors and the documents they are in, made anew from its bytes in each phase."""
 
@@ -107,7 +113,7 @@ def _hashes(buckets: int):
         import pyarrow as pa
 
         for b in batches:
-            for r in b.to_pylist():
+            for r in _rows(b):
                 p = _Pack(r["docs"], r["sizes"], r["data"])
                 edges, many = p.edges(buckets), p.many()
                 blobs = [p.values[a:z].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for a, z in zip(edges, edges[1:])]
@@ -127,7 +133,7 @@ def _leads(rate: float):
         from . import suffixes
 
         for b in batches:
-            for r in b.to_pylist():
+            for r in _rows(b):
                 p = _Pack(r["docs"], r["sizes"], r["data"])
                 at = p.pos[:: max(1, int(len(p.pos) / (SAMPLE_PACK * min(1.0, rate)) + 1))]
                 yield pa.RecordBatch.from_arrays([pa.array([bytes(p.data[a : a + suffixes.GRAM]) for a in at], pa.binary())], ["lead"])
@@ -160,7 +166,7 @@ def _suffixes(buckets: int, splitters: list[bytes]):
         import pyarrow as pa
 
         for b in batches:
-            for r in b.to_pylist():
+            for r in _rows(b):
                 _, _, rows, least = _Pack(r["docs"], r["sizes"], r["data"]).shared(r["masks"], buckets)
                 edges = _cuts(rows, splitters)
                 full = [i for i in range(len(edges) - 1) if edges[i] < edges[i + 1]]
@@ -200,7 +206,7 @@ def _remove(buckets: int, splitters: list[bytes]):
         from . import suffixes
 
         for b in batches:
-            for r in b.to_pylist():
+            for r in _rows(b):
                 p = _Pack(r["docs"], r["sizes"], r["data"])
                 some, kind, rows, least = p.shared(r["masks"] or [], buckets)
                 edges, bits = _cuts(rows, splitters), np.zeros(len(rows), np.uint32)
@@ -249,7 +255,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     rows = df.select(F.monotonically_increasing_id().alias("uid"), F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
     packs = materialize(rows.mapInArrow(_pack, "pack long, docs array<long>, sizes array<long>, data binary, bytes long"), "suffix-packs")
     n, total = packs.agg(F.count("*"), F.sum("bytes")).first()
-    buckets = int(max(16, min(1 << 20, (total or 0) // BUCKET)))
+    buckets = int(max(32, min(1 << 20, (total or 0) // BUCKET)))
     rate = SAMPLE / (SAMPLE_PACK * max(1, n))
     drawn = packs.filter(F.lit(rate) * 2**32 > F.pmod(F.xxhash64("pack"), F.lit(2**32))) if rate < 1 else packs
     leads = sorted(r[0] for r in drawn.mapInArrow(_leads(1.0), "lead binary").collect())

@@ -32,15 +32,18 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     if n < WINDOW:
         z = np.zeros(0, np.int64)
         return z, z, z, z.astype(np.uint64)
-    at = np.empty(n - WINDOW + 1, np.int64)
-    key = np.empty(n - WINDOW + 1, np.uint64)
-    for s in range(0, len(at), CHUNK):
-        part = data[s : s + CHUNK + WINDOW + 7]
-        m = min(CHUNK, len(at) - s)
-        raw = np.concatenate([part, np.zeros(16, np.uint8)])
+    total = n - WINDOW + 1
+    cut = np.zeros(total, bool)  # windows that run over the end of their document
+    for e in ends[:-1]:
+        cut[max(0, e - WINDOW + 1) : e] = True
+    found: list[tuple[np.ndarray, ...]] = []
+    before = (-1, False)
+    for s in range(0, total, CHUNK):
+        m = min(CHUNK, total - s)
+        raw = np.concatenate([data[s : s + m + WINDOW + 7], np.zeros(16, np.uint8)]).tobytes()
         w = np.empty(len(raw) - 7 & ~7, np.uint64)
         for j in range(8):
-            w[j::8] = raw[j : j + len(w)].view("<u8") if j == 0 else np.frombuffer(raw.tobytes(), "<u8", len(w) // 8, j)
+            w[j::8] = np.frombuffer(raw, "<u8", len(w) // 8, j)
         k = m + RUNS - 1
         h = w[:k] * _MIX[0] + w[8 : 8 + k] * _MIX[1] + w[GRAM - 8 : GRAM - 8 + k] * _MIX[2]
         h ^= h >> np.uint64(29)
@@ -52,18 +55,17 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
             h = np.minimum(h[: len(h) - width], h[width:])
             width *= 2
         best = np.minimum(h[:m], h[RUNS - width : RUNS - width + m])
-        at[s : s + m] = (best & _POS).astype(np.int64) + s
-        key[s : s + m] = best >> np.uint64(20)
-    cut = np.zeros(len(at), bool)  # windows that run over the end of their document
-    for e in ends[:-1]:
-        cut[max(0, e - WINDOW + 1) : e] = True
-    new = np.ones(len(at), bool)
-    new[1:] = (at[1:] != at[:-1]) | (cut[1:] != cut[:-1])
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(at)) - 1
-    ok = ~cut[first]
-    first, last = first[ok], last[ok]
-    return at[first], first, last, key[first]
+        at, over = (best & _POS).astype(np.int64) + s, cut[s : s + m]
+        new = np.ones(m, bool)
+        new[0] = (at[0], over[0]) != before
+        new[1:] = (at[1:] != at[:-1]) | (over[1:] != over[:-1])
+        before = (at[-1], over[-1])
+        i = np.flatnonzero(new)
+        found.append((at[i], i + s, best[i] >> np.uint64(20), over[i]))
+    at, first, key, over = (np.concatenate(x) for x in zip(*found))
+    last = np.append(first[1:], total) - 1
+    ok = ~over
+    return at[ok], first[ok], last[ok], key[ok]
 
 
 def frames(data: np.ndarray, pos: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
