@@ -127,7 +127,8 @@ def links(fps: DataFrame, bits: int = 2, bucket: int = BUCKET) -> DataFrame:
 def groups(found: DataFrame, bits: int = 2) -> DataFrame:
     """fp, first (doc_id, uid of the group's first row: smallest doc_id, null last) for each fingerprint.
 
-    Equal fingerprints are one node, so that copies cost one row, whatever their number.
+    Equal fingerprints are one node, so that copies cost one row, whatever their number. The result
+    is a written table, so that a join of documents with it is one whose hot keys Spark can split.
     """
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")
     classes = materialize(found.groupBy("fp").agg(F.min(order).alias("first")), "simhash-classes")
@@ -135,7 +136,7 @@ def groups(found: DataFrame, bits: int = 2) -> DataFrame:
     linked = classes.join(parts, F.col("fp") == F.col("node"))
     firsts = linked.groupBy("component").agg(F.min("first").alias("group_first"))
     named = parts.join(firsts, "component").select(F.col("node").alias("fp"), "group_first")
-    return classes.join(named, "fp", "left").select("fp", F.coalesce("group_first", "first").alias("first"))
+    return materialize(classes.join(named, "fp", "left").select("fp", F.coalesce("group_first", "first").alias("first")), "simhash-groups")
 
 
 def simhash_groups(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, bits: int = 2) -> DataFrame:
