@@ -46,6 +46,12 @@ def drop_scratch(*tables: DataFrame) -> None:
             break
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all scratch tables of the shared folder, once no result that reads them is needed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/scratch")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished phases now, not when memory runs short."""
     gc.collect()
