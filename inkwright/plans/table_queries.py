@@ -372,9 +372,11 @@ def page_counters(spark, sf_dir):
     from ..functions import latex as L
     from ..operators import gate as G
 
-    blocks = page_blocks(spark, sf_dir)
+    # each exchange is made once and read by all that follows, so nothing upstream is worked out again
+    blocks = page_blocks(spark, sf_dir).repartition("page_id")
     found = blocks.select("page_id", "seq", F.posexplode(T.delimiters(F.col("text"))).alias("pos", "span"))
     rows = found.select("page_id", F.col("seq").alias("block"), "pos", T.inside(F.col("span")).alias("latex"), F.concat_ws("_", F.lit("eq"), "page_id", "seq", "pos").alias("region"))
+    rows = rows.repartition("page_id")
     rows = R.mark_duplicates(rows, F.col("latex"), ["page_id", "block", "pos"], "region", ["page_id"])
     rows = rows.withColumn("gate", G.gate(L.plausibility(F.col("latex"), F.lit(True)), G.proxy_compiles(F.col("latex"))))
     eq = rows.groupBy("page_id").agg(F.count("*").alias("equations"), F.count("canonical").alias("deduped"), F.count_if(F.col("gate") == "pass").alias("passed"))
