@@ -14,9 +14,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A candidate: a run of 8 or more key characters that holds a digit, or the head of a private key.
-CANDIDATE = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----|(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*[0-9])[A-Za-z0-9_+/-]{8,}={0,2}"
+CANDIDATE = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----|(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*[0-9])[A-Za-z0-9_+/-]{8,}(?:==(?![=\"'`]?[^\s\"'`,;.)\]}>])|=(?!=|[ \t]*[\"'`]?[^\s\"'`,;.)\]}>]))?"
 #: Characters of context to either side.
 CONTEXT = 48
+#: Candidates to either side that context may run over.
+NEAR = CONTEXT // 8
 #: What a secret becomes in a redacted text.
 MASK = "[SECRET]"
 
@@ -156,12 +158,19 @@ def scan(df: DataFrame, forest: Callable[[Column], Column], text: str = "text",
     cut = cut.withColumn("__g", F.when(F.size("__m") > 0, F.split(text, CANDIDATE)).otherwise(F.array().cast("array<string>")))
     m, g = F.col("__m"), F.col("__g")
 
-    def one(c: Column, i: Column) -> Column:
-        before, after = F.get(g, i), F.get(g, i + 1)
-        # context is looked up only near the candidate, however long the gap is
-        return F.struct(c.alias("c"), features(c, F.right(before, F.lit(CONTEXT)), F.left(after, F.lit(CONTEXT)), where).alias("f"))
+    near_left, near_right = (lambda x: F.right(x, F.lit(CONTEXT))), (lambda x: F.left(x, F.lit(CONTEXT)))
+    place = lambda x, k: F.coalesce(F.get(x, k), F.lit(""))
 
-    votes = F.transform(F.transform(m, one), lambda x: F.struct(x["c"].alias("c"), forest(x["f"]).alias("v")))
+    def around(c: Column, i: Column) -> Column:
+        # context runs over neighbouring candidates; as these have 8 characters or more, NEAR of them reach
+        # CONTEXT, and only that many characters of each are joined, however long texts and gaps are
+        lefts = [near_left(place(x, i - k)) for k in range(NEAR, 0, -1) for x in (g, m)]
+        before = F.concat(*lefts, near_left(F.get(g, i)))
+        after = F.concat(near_right(F.get(g, i + 1)), *[near_right(place(x, i + k + d)) for k in range(1, NEAR + 1) for x, d in ((m, 0), (g, 1))])
+        return F.struct(c.alias("c"), near_left(before).alias("before"), near_right(after).alias("after"))
+
+    one = lambda x: F.struct(x["c"].alias("c"), features(x["c"], x["before"], x["after"], where).alias("f"))
+    votes = F.transform(F.transform(F.transform(m, around), one), lambda x: F.struct(x["c"].alias("c"), forest(x["f"]).alias("v")))
     cut = cut.withColumn("__v", votes)
     sizes = F.transform(m, lambda c, i: F.length(F.get(g, i)) + F.length(c))
     ends = F.aggregate(sizes, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))

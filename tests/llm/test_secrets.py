@@ -1,0 +1,42 @@
+"""Secrets whose context or form the pattern of candidates used to cut."""
+
+import base64
+import hashlib
+
+import pytest
+
+from inkwright.llm import secrets
+
+HEX = hashlib.sha256(b"x").hexdigest()[:32]
+BODY = "\n".join(base64.b64encode(hashlib.sha512(bytes([i])).digest()[:48]).decode() for i in range(20))
+KEY = f"-----BEGIN RSA PRIVATE KEY-----\n{BODY}\n-----END RSA PRIVATE KEY-----"
+
+
+@pytest.fixture(scope="module")
+def masked(spark):
+    forest = secrets.train(secrets.labelled_findings(spark))
+
+    def run(texts):
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+        return [x.redacted for x in secrets.scan(df, forest).orderBy("doc_id").collect()]
+
+    return run
+
+
+def test_a_name_with_a_digit_keeps_its_evidence(masked):
+    texts = ['oauth2_token="{}"', "auth0_secret={}", "DB_PASSWORD_2 = '{}'", "s3_secret_key: {}", 'see 20240131-1200 then api_key_v2="{}"']
+    assert masked([t.format(HEX) for t in texts]) == [t.format("[SECRET]") for t in texts]
+
+
+def test_context_is_the_text_around_a_candidate(spark):
+    forest = lambda f: f[secrets.FEATURES.index("secret_near")]
+    text = "token a1b2c3d4 " + "e5f6a7b8 " * 3 + "x" * 60 + " e5f6a7b8"
+    df = spark.createDataFrame([(text,)], "text string")
+    got = secrets.scan(df, forest).first().secrets
+    assert [s.start for s in got] == [6, 15, 24, 33]
+
+
+def test_padding_stays_with_its_key(spark):
+    df = spark.createDataFrame([("a YWJjZGVm1234== b \"YWJjZGVm1235=\" c",)], "text string")
+    got = secrets.scan(df, lambda f: f[0] * 0 + 1).first().secrets
+    assert [s.candidate for s in got][0] == "YWJjZGVm1234==" and got[1].candidate.startswith("YWJjZGVm1235")
