@@ -13,8 +13,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A candidate: a run of 8 or more key characters that holds a digit, or the head of a private key.
-CANDIDATE = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----|(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*[0-9])[A-Za-z0-9_+/-]{8,}(?:==(?![=\"'`]?[^\s\"'`,;.)\]}>])|=(?!=|[ \t]*[\"'`]?[^\s\"'`,;.)\]}>]))?"
 #: Characters of context to either side.
 CONTEXT = 48
 #: Candidates to either side that context may run over.
@@ -28,7 +26,21 @@ OTHER_WORDS = ("commit", "sha1", "sha256", "md5", "checksum", "digest", "revisio
 DUMMY_WORDS = ("example", "sample", "dummy", "test", "your", "xxxx", "placeholder", "changeme", "redacted", "foobar", "null", "none", "here")
 DICTIONARY = ("the", "and", "ing", "tion", "version", "final", "post", "title", "page", "image", "file", "user", "name", "data", "model", "part", "chapter", "section", "report", "draft", "index", "value", "number", "street", "window", "summer", "winter", "house", "water", "light", "paper", "music", "world", "green", "black", "white", "north", "south", "first", "last", "year", "month", "week", "time", "with", "from", "that", "this", "for", "are", "not", "you", "all", "new", "key", "token", "password", "secret", "login", "server", "client", "local", "host", "mail", "news", "blog", "help", "about", "item", "list", "table", "build", "release", "copy", "backup")
 
-FEATURES = ("length", "case_turns", "digit_turns", "digit_share", "upper_share", "distinct_share", "dictionary", "hex", "uuid", "known_head", "slashes", "dashes", "secret_near", "other_near", "dummy", "assigned", "quoted", "in_url", "path_test", "digits_only", "repeats")
+# Parts of the pattern of candidates. The possessive loops keep it linear and off the stack.
+_RUN, _EDGE = "[A-Za-z0-9_+/-]", "(?<![A-Za-z0-9_+/-])"
+_KEY = "[A-Z ]{0,30}PRIVATE KEY(?: BLOCK)?-----"
+_VALUE = "[^\\s\"'`,;.)\\]}>]"
+_NAMED = r"(?<=[=: \t\"'`])(?<=[=:][ \t]?[\"'`]?)(?<=(?:%s)[A-Za-z0-9_-]{0,16}[\"'`]?[ \t]{0,2}[=:][ \t]?[\"'`]?)" % ("(?i:" + "|".join(map(re.escape, SECRET_WORDS)) + ")")
+#: A candidate, by the first that fits: a private key from BEGIN to END (or the base64 lines that follow BEGIN);
+#: a value of 8 or more characters other than blanks and quotes (unquoted, also up to a comma, semicolon or
+#: angle bracket) that is assigned to a secret word; a key with a known head; a run of 8 or more key characters that holds a digit, and its padding unless that assigns a value.
+CANDIDATE = "|".join((
+    rf"-----BEGIN {_KEY}(?:(?:[^-]++|-(?!----))*+-----END {_KEY}|(?:(?:\s|\\[nr])*+[A-Za-z0-9+/]{{24,}}+={{0,2}}+)*+)",
+    rf"{_NAMED}(?!-----BEGIN )(?:(?<=[\"'`])[^\s\"'`]{{8,}}|(?<![\"'`])[^\s\"'`,;<>]{{7,}}{_VALUE})",
+    rf"{_EDGE}(?:(?:AKIA|ASIA)[0-9A-Z]{{16}}(?!{_RUN})|(?:gh[pousr]_|xox[abprs]-|AIza){_RUN}{{16,}}|sk-[A-Za-z0-9]{{20,}}(?!{_RUN})|(?=[A-Za-z_+/-]*[0-9]){_RUN}{{8,}}(?:==(?![=\"'`]?{_VALUE})|=(?!=|[ \t]*[\"'`]?{_VALUE}))?)",
+))
+
+FEATURES = ("length", "case_turns", "digit_turns", "digit_share", "upper_share", "distinct_share", "dictionary", "hex", "uuid", "known_head", "slashes", "dashes", "secret_near", "other_near", "dummy", "assigned", "quoted", "in_url", "path_test", "digits_only", "repeats", "marks", "code", "word")
 
 
 def _any(words: tuple[str, ...]) -> str:
@@ -63,6 +75,9 @@ def features(c: Column, before: Column, after: Column, path: Column) -> Column:
         "path_test": flag(path.rlike("(?i)test|example|sample|mock|docs?/")),
         "digits_only": flag(c.rlike("^[0-9-]+$")),
         "repeats": count(r"(.)\1\1"),
+        "marks": count(r"[^A-Za-z0-9_+/=\s-]") / n,
+        "code": flag(c.rlike(r"^(?:\$[A-Za-z_{(]|[<{\[%]|[a-z+]+://)|\w[(\[]|^[A-Za-z_]+(?:\.[A-Za-z_]+)+$")),
+        "word": flag(c.rlike(r"^[A-Za-z]?[a-z]+[.,;:!?)]*$")),
     }
     return F.array(*[F.coalesce(values[k].cast("double"), F.lit(0.0)) for k in FEATURES])
 
@@ -75,7 +90,7 @@ def labelled_findings(spark: SparkSession, n: int = 4000, seed: int = 11) -> Dat
     i = F.col("id")
     sha = F.sha2(F.concat_ws("-", i.cast("string"), F.lit(str(seed))), 256)
     pick = lambda k, m: F.pmod(F.xxhash64(i, F.lit(seed), F.lit(k)), F.lit(m))
-    at = lambda k, words: F.get(F.array(*map(F.lit, words)), pick(k, len(words)).cast("int"))
+    at = lambda k, words: F.get(F.array(*[w if isinstance(w, Column) else F.lit(w) for w in words]), pick(k, len(words)).cast("int"))
     b64 = F.regexp_replace(F.base64(F.unhex(sha)), "[=\r\n]", "")
     b32 = F.translate(F.upper(sha), "01894A2B", "GHJKLMNP")
     word = lambda k: at(k, ("report", "chapter", "summer", "window", "final-draft", "image", "blog-post", "section", "release", "backup"))
@@ -84,6 +99,9 @@ def labelled_findings(spark: SparkSession, n: int = 4000, seed: int = 11) -> Dat
     glue = at(3, ("=", " = ", ": ", ":", '="', ' = "', "='"))
     cut = (F.lit(12) + pick(4, 29)).cast("int")
     anycase = F.when(pick(5, 4) == 0, F.upper(sha)).otherwise(sha)
+    quoted = at(3, ('="', ' = "', "='", ': "'))
+    syllable = lambda k: at(k, ("cor", "rect", "horse", "bat", "tery", "stap", "le", "mor", "van", "quil", "tig", "er", "pol", "ish", "gran", "ite"))
+    mark = lambda k: at(k, ("!", "@", "&", "#", "%", "*", "?", "^", "~"))
     good = [
         (F.concat(prose, name, glue), F.substring(anycase, F.lit(1), cut)),
         (F.concat(prose, name, glue), F.substring(b64, F.lit(1), cut)),
@@ -91,6 +109,12 @@ def labelled_findings(spark: SparkSession, n: int = 4000, seed: int = 11) -> Dat
         (prose, F.concat(F.lit("AKIA"), F.substring(b32, 1, 16))),
         (F.concat(prose, at(6, ("", "key: ", "export X="))), F.concat(at(7, ("ghp_", "gho_", "sk-", "xoxb-", "AIza")), F.substring(F.regexp_replace(b64, "[+/]", "x"), 1, 36))),
     ]
+    good += [
+        (F.concat(prose, name, quoted), F.concat_ws("-", *[F.concat(syllable(k), syllable(k + 1)) for k in (30, 32, 34, 36)])),
+        (F.concat(prose, name, glue), F.concat(F.initcap(syllable(38)), pick(39, 10).cast("string"), mark(40), syllable(41), mark(42), F.substring(anycase, 1, 4), mark(43), pick(44, 90).cast("string"))),
+        (F.concat(prose, name, glue), F.translate(F.substring(F.regexp_replace(b64, "[+/]", "x"), F.lit(1), cut), "0123456789", "qWkZvJxPbG")),
+        (prose, F.concat(F.lit("-----BEGIN "), at(53, ("", "RSA ", "EC ", "OPENSSH ")), F.lit("PRIVATE KEY-----\n"), F.repeat(F.concat(at(54, (b64, b64, sha)), F.lit("\n")), pick(55, 40).cast("int")), at(56, ("", "-----END PRIVATE KEY-----")))),
+    ]
     bad = [
         (prose, F.substring(F.regexp_replace(F.concat(sha, F.md5(sha)), "[a-f]", ""), F.lit(1), (F.lit(8) + pick(8, 9)).cast("int"))),
         (prose, F.concat_ws("-", F.substring(F.regexp_replace(sha, "[a-f]", "7"), 1, 3), F.substring(F.regexp_replace(sha, "[a-f]", "3"), 4, 4))),
@@ -103,6 +127,11 @@ def labelled_findings(spark: SparkSession, n: int = 4000, seed: int = 11) -> Dat
         (F.concat(prose, at(6, ("mail ", "at ", ""))), F.concat(at(10, ("ordershe", "thingreed", "ouverture", "lichkeit", "erhaned")), pick(11, 90).cast("string"))),
     ]
 
+    bad += [
+        (F.concat(prose, at(45, ("token", "password", "secret", "author", "Authors", "authority", "credentials", "tokens")), at(46, (": ", "=", ":", ' = "'))), F.concat(at(47, ("required", "undefined", "disabled", "Christopher", "something", "mandatory", "unbelievable", "translation", "Elizabeth", "generated")), at(48, ("", "", "ly", "s")))),
+        (F.concat(prose, name, glue), F.concat(at(49, ("os.environ[", "getpass.getpass(", "request.form.", "${DB_", "$(cat_", "settings.", "<%=params.", "self.config.", "https://www.site.org/")), word(50), at(51, ("", "])", ")", "}")))),
+    ]
+
     def choose(forms: list, part: int, k: int) -> Column:
         out = forms[0][part]
         for j, f in enumerate(forms[1:], 1):
