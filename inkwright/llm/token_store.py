@@ -85,7 +85,7 @@ def read_segment(blob: bytes) -> tuple[EliasFano, np.ndarray]:
     return EliasFano(n, low_bits, low, high, samples), np.frombuffer(blob, f"<u{width}", n_ids, at)
 
 
-def write_tokens(df: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text", range_bytes: int = RANGE_BYTES) -> DataFrame:
+def write_tokens(df: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text", range_bytes: int = RANGE_BYTES, added: bool = False) -> DataFrame:
     """Encode every text, append ``end_id``, and write segments in ascending order of the key.
 
     Returns the written table: range, part (their order is the order of the ids), keys (of the
@@ -93,6 +93,7 @@ def write_tokens(df: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id"
     task holds a range of text at most, or one document that is larger. Null text is empty and
     gives the end id alone. Null keys come first; rows of one key are ordered by a hash of the row,
     then by place. An empty table gives no segments. Other columns play no part.
+    ``added``: see Encoder.
     """
     keyed = df.select(F.col(key).alias("key"), F.col(text).alias("text"), utf8_size(text).alias("size"), content_hash(df).alias("h"), F.monotonically_increasing_id().alias("i"))
     order = ["key", "h", "i"]
@@ -106,7 +107,7 @@ def write_tokens(df: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id"
 
         from .tokens import Encoder
 
-        encoder, at, part, size = Encoder(tokenizer, end_id), None, 0, 0
+        encoder, at, part, size = Encoder(tokenizer, end_id, added), None, 0, 0
         end = encoder.pack([end_id])
         keys: list = []
         ids: list[bytes] = []
