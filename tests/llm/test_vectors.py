@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from inkwright.llm import embed_dedup, topk
@@ -46,6 +47,39 @@ def test_top_k_of_few_and_of_none(spark):
         assert topk.search(spark.createDataFrame(empty, SCHEMA), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_scores_of_large_components_are_exact(spark):
+    rows = [(i, [x, 1.0], 1) for i, x in enumerate((300000.0, 400000.0, 500000.0, 270000.0))]
+    got = topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), F.col("vec_id") == 0).collect()
+    whole = [[math.floor(1024 * x) for x in v] for _, v, _ in rows]
+    want = [(0, k + 1, j, sum(a * b for a, b in zip(whole[0], whole[j]))) for k, j in enumerate((2, 1, 3))]
+    assert sorted(tuple(x) for x in got) == want
+    # products that only cancel out to a long, and one that does not
+    rows = [(0, [2.0**22, 2.0**22], 1), (1, [2.0**22, -(2.0**22)], 1), (2, [2.0**22, 1 - 2.0**22], 1)]
+    got = topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), F.col("vec_id") == 0).collect()
+    assert sorted(tuple(x) for x in got) == [(0, 1, 2, 1 << 42), (0, 2, 1, 0)]
+    rows = [(0, [2.0**22], 1), (1, [2.0**22], 1)]
+    with pytest.raises(Exception, match="does not fit a long"):
+        topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), F.col("vec_id") == 0).collect()
+
+
+def test_triangle_bounds_exclude_most_pairs_of_clustered_vectors(spark):
+    r = np.random.default_rng(3)
+    base = r.normal(size=(200, 16)) * 4
+    v = base[r.integers(0, 200, 20000)] + r.normal(size=(20000, 16)) * 0.1
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    df = spark.createDataFrame([(i, x.tolist(), 0) for i, x in enumerate(v)], SCHEMA)
+    v = np.floor(v.astype("f4").astype(float) * 1024)
+    got = {}
+    for x in topk.search(df, F.col("vec_id") % 1000 == 0).collect():
+        got.setdefault(x.query_id, {})[x.rank] = (x.vec_id, x.score)
+    for i in range(0, 20000, 1000):
+        s = v @ v[i]
+        s[i] = -np.inf
+        order = np.lexsort((np.arange(20000), -s))[:10]
+        assert [got[i][k + 1] for k in range(10)] == [(j, int(s[j])) for j in order]
+    assert topk.share_scanned(df, F.col("vec_id") % 1000 == 0) < 0.5
+
+
 def test_graph_finds_what_is_near():
     r = np.random.default_rng(4)
     base = r.normal(size=(60, 32))
