@@ -24,19 +24,21 @@ def _matrix(v: list) -> np.ndarray:
     return out
 
 
-def _spans(hits: np.ndarray) -> np.ndarray:
-    """Component (its first member) of each node of a symmetric matrix of links."""
-    n = len(hits)
-    root = np.full(n, -1)
-    for i in range(n):
-        if root[i] < 0:
-            front = np.array([i])
-            root[i] = i
-            while len(front):
-                reach = hits[front].any(0) & (root < 0)
-                front = np.flatnonzero(reach)
-                root[front] = i
-    return root
+def _spans(hits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Component of each row and each column of a matrix of links, by number; -1 without links."""
+    rows, cols = np.full(len(hits), -1), np.full(hits.shape[1], -1)
+    some = hits.any(1)
+    for i in np.flatnonzero(some):
+        if rows[i] >= 0:
+            continue
+        front = np.array([i])
+        rows[i] = i
+        while len(front):
+            reach = np.flatnonzero(hits[front].any(0) & (cols < 0))
+            cols[reach] = i
+            front = np.flatnonzero(hits[:, reach].any(1) & (rows < 0)) if len(reach) else reach
+            rows[front] = i
+    return rows, cols
 
 
 def link(df: DataFrame, threshold: float = 0.93, key: str = "vec_id", vec: str = "embedding", label: str = "label", shard: int = SHARD, beam: int = 64) -> DataFrame:
@@ -54,8 +56,19 @@ def link(df: DataFrame, threshold: float = 0.93, key: str = "vec_id", vec: str =
     small-world graph, and every shard is searched by the nodes of each other shard of the label,
     once for each pair of shards. Beams widen until an audit against exact neighbours passes, hits
     are checked in double precision, and each pair of shards returns counts and a spanning forest,
-    not its links. Components are then united.
+    not its links. Components are then united. An empty table gives no rows; extra columns play
+    no part.
     """
+    return _link(df, threshold, key, vec, label, shard, beam)[0]
+
+
+def audited(df: DataFrame, threshold: float = 0.93, key: str = "vec_id", vec: str = "embedding", label: str = "label", shard: int = SHARD, beam: int = 64) -> tuple[int, int]:
+    """Links that the graph walks of link() found, and true links, of the queries that audits looked at."""
+    found = _link(df, threshold, key, vec, label, shard, beam)[1]
+    return tuple(x or 0 for x in found.agg(F.sum("found"), F.sum("true")).first())
+
+
+def _link(df: DataFrame, threshold: float, key: str, vec: str, label: str, shard: int, beam: int) -> tuple[DataFrame, DataFrame]:
     rows = materialize(
         df.select(F.col(key).alias("id"), F.col(vec).alias("v"), F.col(label).alias("label"))
         .withColumn("uid", F.monotonically_increasing_id())
@@ -88,6 +101,7 @@ def link(df: DataFrame, threshold: float = 0.93, key: str = "vec_id", vec: str =
 
         from .hnsw import Hnsw, within
 
+        names = ["node", "links", "root", "found", "true"]
         for batch in batches:
             for r in batch.to_pylist():
                 sides = []
@@ -100,24 +114,26 @@ def link(df: DataFrame, threshold: float = 0.93, key: str = "vec_id", vec: str =
                 unit = lambda x: (y := x / np.abs(x).max(1, keepdims=True)) / np.sqrt((y * y).sum(1))[:, None]
                 ua, ub = unit(xa), unit(xb)
                 graph = Hnsw.load(ua.astype(np.float32), r["a_graph"])
-                hits, _ = within(graph, ub.astype(np.float32), threshold, lambda i, j: np.einsum("kd,kd->k", ub[i], ua[j]), beam)
+                got = within(graph, ub.astype(np.float32), threshold, lambda i, j: np.einsum("kd,kd->k", ub[i], ua[j]), beam)
+                hits = got.linked
                 if r["same"]:
                     hits |= hits.T
+                    np.fill_diagonal(hits, True)  # a node's row and its column are one
+                    root = na[_spans(hits)[0]]
                     np.fill_diagonal(hits, False)
                     nodes, counts = na, hits @ ca
-                    whole = hits
                 else:
-                    nodes, counts = np.r_[na, nb], np.r_[hits.T @ cb, hits @ ca]
-                    whole = np.zeros((len(nodes),) * 2, bool)
-                    whole[: len(na), len(na) :] = hits.T
-                    whole[len(na) :, : len(na)] = hits
-                root = nodes[_spans(whole)]
+                    rows, cols = _spans(hits)
+                    nodes, counts, root = np.r_[na, nb], np.r_[hits.T @ cb, hits @ ca], nb[np.r_[cols, rows]]
                 some = counts > 0
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(counts[some].astype(np.int64)), pa.array(root[some])], ["node", "links", "root"])
+                none = np.zeros(int(some.sum()), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(counts[some].astype(np.int64)), pa.array(root[some]), pa.array(none), pa.array(none)], names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 3 + [pa.array([got.found]), pa.array([got.true])], names)
 
     side = lambda s: shards.select("label", *[F.col(c).alias(f"{s}_{c}") for c in ("shard", "dim", "nodes", "counts", "v", "wide", *(["graph"] if s == "a" else []))])
     pairs = side("a").join(side("b"), "label").filter("a_shard <= b_shard").withColumn("same", F.expr("a_shard = b_shard")).drop("label")
-    found = materialize(pairs.repartition(F.col("a_nodes"), F.col("b_nodes")).mapInArrow(compare, "node long, links long, root long"), "embed-links")
+    told = materialize(pairs.repartition(F.col("a_nodes"), F.col("b_nodes")).mapInArrow(compare, "node long, links long, root long, found long, true long"), "embed-links")
+    found = told.filter("node is not null").select("node", "links", "root")
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     comps = materialize(connected_components(found, "node", "root"), "embed-components")
     named = nodes.select("node", "first").join(comps, "node").groupBy("component").agg(F.min("first").alias("smallest"))
@@ -125,7 +141,8 @@ def link(df: DataFrame, threshold: float = 0.93, key: str = "vec_id", vec: str =
     facts = nodes.select(*node, "node", "n", "first").join(counts, "node", "left").join(named, "node", "left").select(*node, F.lit(True).alias("ok"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("smallest", "first").alias("smallest"))
     out = rows.drop("v").join(facts, [*node, "ok"], "left")
     component = F.when(F.col("ok"), F.col("smallest")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(key), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+    out = out.select(F.col("id").alias(key), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+    return out, told.select("found", "true")
 
 
 ORACLE_SQL = """

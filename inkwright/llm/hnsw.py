@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+from dataclasses import dataclass
 
 import numpy as np
 
@@ -164,13 +165,25 @@ class Hnsw:
         return cls(x, parts[: len(parts) // 2], parts[len(parts) // 2 :])
 
 
-def within(graph: Hnsw, q: np.ndarray, threshold: float, exact, beam: int = 64, audit: int = 48, recall: float = 0.999) -> tuple[np.ndarray, int]:
-    """hits[i, j]: query i and node j have cosine >= ``threshold``; the beam that passed.
+@dataclass
+class Hits:
+    """linked[i, j]: query i and node j link. Of ``true`` links of the audited queries the search had ``found``."""
 
-    The beam widens until an audit, the exact neighbours of ``audit`` queries, finds ``recall`` of
-    them; queries whose whole beam lies within the threshold are searched again with a wider one.
-    A beam of half the graph is replaced by an exact scan. exact(i, j) is the cosine in double
-    precision of query rows i and nodes j; only pairs that it confirms are hits.
+    linked: np.ndarray
+    beam: int
+    found: int
+    true: int
+
+
+def within(graph: Hnsw, q: np.ndarray, threshold: float, exact, beam: int = 64, audit: int = 48, enough: int = 256, recall: float = 0.999) -> Hits:
+    """Which queries and nodes have a cosine of ``threshold`` or more.
+
+    All queries walk the graph; those whose whole beam lies within the threshold walk it again with
+    a wider one. An audit then takes the exact neighbours of queries until it has seen ``enough``
+    true links or all queries; those that the walk linked and others take turns. Where the walk had less
+    than ``recall`` of them the beam widens, and after a beam of the whole graph everything is
+    scanned. What an audit finds is kept. exact(i, j) is the cosine in double precision of query
+    rows i and nodes j; only pairs that it confirms are hits.
     """
     n = len(graph.x)
     slack = 1e-5  # what single precision may lose in the search
@@ -183,11 +196,7 @@ def within(graph: Hnsw, q: np.ndarray, threshold: float, exact, beam: int = 64,
             out[a, b] = exact(rows[a], b) >= threshold
         return out
 
-    def run(rows: np.ndarray, width: int, out: np.ndarray) -> None:
-        if 2 * width >= n:
-            for k in range(0, len(rows), 1024):
-                out[rows[k : k + 1024]] = scan(rows[k : k + 1024])
-            return
+    def walk(rows: np.ndarray, width: int, out: np.ndarray) -> None:
         full = []
         for k in range(0, len(rows), BATCH):
             part = rows[k : k + BATCH]
@@ -196,17 +205,30 @@ def within(graph: Hnsw, q: np.ndarray, threshold: float, exact, beam: int = 64,
             good = exact(part[r], ids[r, c]) >= threshold
             out[part[r[good]], ids[r[good], c[good]]] = True
             full.append(part[sims[:, -1] >= threshold - slack])
-        full = np.concatenate(full)
-        if len(full):
-            run(full, width * 4, out)
+        full = np.concatenate(full) if full else np.zeros(0, np.int64)
+        if len(full) and width < n:
+            walk(full, width * 4, out)
 
-    checked = np.unique(np.linspace(0, len(q) - 1, min(audit, len(q))).astype(int))
-    truth = scan(checked)
+    everyone = np.arange(len(q))
+    mixed = np.random.default_rng(9).permutation(len(q))
     while True:
         out = np.zeros((len(q), n), bool)
-        # the audit goes first, so that a beam that fails it costs little
-        run(checked, beam, out)
-        if 2 * beam >= n or (out[checked] & truth).sum() >= recall * truth.sum():
-            run(np.setdiff1d(np.arange(len(q)), checked), beam, out)
-            return out, beam
-        beam *= 2
+        walk(everyone, beam, out)
+        linked = out.any(1)[mixed]
+        # queries that the walk linked and others take turns, so that both kinds are audited from the start
+        rank = np.where(linked, np.cumsum(linked), np.cumsum(~linked))
+        order = mixed[np.argsort(rank, kind="stable")]
+        found, true, at, step = 0, 0, 0, audit
+        while at < len(order) and true < enough:
+            part = order[at : at + step]
+            truth = scan(part)
+            found, true, at = found + int((out[part] & truth).sum()), true + int(truth.sum()), at + len(part)
+            out[part] = truth
+            step = min(2 * step, 1024)
+        if found >= recall * true:
+            return Hits(out, beam, found, true)
+        if beam >= n:
+            for k in range(0, len(q), 1024):
+                out[everyone[k : k + 1024]] = scan(everyone[k : k + 1024])
+            return Hits(out, beam, int(out.sum()), int(out.sum()))
+        beam *= 4

@@ -86,9 +86,32 @@ def test_graph_finds_what_is_near():
     x = base[r.integers(0, 60, 1500)] + r.normal(size=(1500, 32)) * 0.25
     x /= np.linalg.norm(x, axis=1)[:, None]
     graph = Hnsw.load(x.astype("f4"), Hnsw.build(x.astype("f4")).dump())
-    hits, _ = within(graph, x.astype("f4"), 0.9, lambda i, j: np.einsum("kd,kd->k", x[i], x[j]))
+    got = within(graph, x.astype("f4"), 0.9, lambda i, j: np.einsum("kd,kd->k", x[i], x[j]))
     want = x @ x.T >= 0.9
-    assert not (hits & ~want).any() and (hits & want).sum() >= 0.99 * want.sum()
+    assert not (got.linked & ~want).any() and (got.linked & want).sum() >= 0.99 * want.sum()
+    assert got.true >= 256 and got.found >= 0.999 * got.true
+
+
+def test_audit_widens_a_beam_that_finds_too_little():
+    r = np.random.default_rng(5)
+    x = r.normal(size=(900, 48))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    q = x[:300] + r.normal(size=(300, 48)) * 0.02
+    q /= np.linalg.norm(q, axis=1)[:, None]
+    graph = Hnsw.build(x.astype("f4"))
+    graph.layers[0][:] = -1  # a ground layer without links: the walk stays where it enters
+    got = within(graph, q.astype("f4"), 0.9, lambda i, j: np.einsum("kd,kd->k", q[i], x[j]))
+    assert got.beam >= 900 and (got.linked == (q @ x.T >= 0.9)).all()
+
+
+def test_small_and_sparse_shards_walk_the_graph_and_are_audited(spark):
+    r = np.random.default_rng(6)
+    v = r.normal(size=(300, 16))
+    v[150:160] = v[:10] + r.normal(size=(10, 16)) * 0.02  # ten links in all
+    df = spark.createDataFrame([(i, x.tolist(), 0) for i, x in enumerate(v)], SCHEMA)
+    found, true = embed_dedup.audited(df, shard=100)
+    assert true >= 20 and found >= 0.9 * true
+    assert sum(x.n_links for x in embed_dedup.link(df, shard=100).collect()) == 20
 
 
 def test_embedding_links(spark):
