@@ -214,5 +214,11 @@ def scan(df: DataFrame, forest: Callable[[Column], Column], text: str = "text",
 
 
 def findings(df: DataFrame, forest: Callable[[Column], Column], key: str = "doc_id", text: str = "text", path: str | None = "source") -> DataFrame:
-    """One row for each secret: key, start, length, candidate, votes."""
-    return scan(df, forest, text, path).select(key, F.explode("secrets").alias("s")).select(key, "s.*")
+    """One row for each secret: key, start, length, candidate, votes.
+
+    Null and empty texts and an empty table give no rows; repeated rows give theirs each; other
+    columns play no part, whatever their names.
+    """
+    # an inner explode would make Spark filter on the size of secrets below the scan, and so scan twice
+    each = scan(df.select(key, text, *([path] if path and path in df.columns else [])), forest, text, path).select(key, F.explode_outer("secrets").alias("s"))
+    return each.filter("s is not null").select(key, "s.*")
