@@ -44,7 +44,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    forest = secrets.train(secrets.labelled_findings(spark))
+    forest = secrets.train(secrets.labelled_findings(spark), secrets.Vocabulary.load(public_tokenizers.path("word_bpe_49k.json")))
     return secrets.findings(_table(spark, sf_dir, "documents"), forest)
 
 

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import public_tokenizers
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -136,13 +137,13 @@ def test_repeats_are_removed_exactly(spark):
 
 @pytest.fixture(scope="module")
 def forest(spark):
-    return secrets.train(secrets.labelled_findings(spark))
+    return secrets.train(secrets.labelled_findings(spark), secrets.Vocabulary.load(public_tokenizers.path("word_bpe_49k.json")))
 
 
 def test_forest_on_findings_it_has_not_seen(spark, forest):
     held = secrets.labelled_findings(spark, 1500, seed=77)
-    x = secrets.features(F.col("candidate"), F.col("before"), F.col("after"), F.col("path"))
-    right, n = held.select(((forest(x) >= 0.5) == (F.col("label") == 1)).cast("int").alias("ok")).agg(F.sum("ok"), F.count("*")).first()
+    x = secrets.features(F.col("candidate"), F.col("before"), F.col("after"), F.col("path"), forest.vocabulary)
+    right, n = held.select(((forest.votes(x) >= 0.5) == (F.col("label") == 1)).cast("int").alias("ok")).agg(F.sum("ok"), F.count("*")).first()
     assert right / n >= 0.97
 
 
