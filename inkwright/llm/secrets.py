@@ -17,7 +17,7 @@ from string import ascii_lowercase
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import unused
+from .common import materialize, unused
 
 #: Characters of context to either side.
 CONTEXT = 48
@@ -203,7 +203,9 @@ def train(findings: DataFrame, vocabulary: Vocabulary, trees: int = 24, depth: i
     from pyspark.ml.functions import array_to_vector
 
     x = features(F.col("candidate"), F.col("before"), F.col("after"), F.col("path"), vocabulary)
-    rows = findings.select("label", array_to_vector(x).alias("features")).coalesce(1)
+    # written, as the fit reads them once for each level of its trees
+    rows = materialize(materialize(findings, "findings").select("label", x.alias("x")), "findings-features")
+    rows = rows.select("label", array_to_vector("x").alias("features")).coalesce(1)
     model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt", maxMemoryInMB=64).fit(rows)
     return Forest(tuple(t.toDebugString for t in model.trees), vocabulary)
 
