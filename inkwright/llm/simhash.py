@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -14,7 +15,8 @@ from .components import connected_components
 SEED = 42
 #: Shingles counted at once; bounds the memory that a very long text takes.
 BLOCK = 1 << 15
-#: Chain buckets up to this many different fingerprints are joined pair by pair.
+#: Buckets of a chain up to this many different fingerprints are joined pair by pair; the members of
+#: larger ones meet through fingerprints between them, without loss.
 BUCKET = 256
 
 
@@ -80,47 +82,55 @@ def _chain(boxes: list[int], start: int, length: int) -> int:
     return _signed(out)
 
 
+def _flipped(rows: DataFrame, times: int) -> DataFrame:
+    """i, k, fp, v: each fingerprint under every value of its free bits that is up to ``times`` flips away."""
+    out = rows.select("i", "k", "free", "fp", F.col("fp").alias("v"))
+    for _ in range(times):
+        flips = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda j: F.call_function("shiftleft", F.lit(1).cast("long"), j))
+        flips = F.filter(flips, lambda f: F.col("free").bitwiseAND(f) != 0)
+        out = out.select("i", "k", "free", "fp", F.explode(F.concat(F.array(F.lit(0).cast("long")), flips)).alias("f"), "v").select("i", "k", "free", "fp", F.col("v").bitwiseXOR(F.col("f")).alias("v"))
+    return out.select("i", "k", "fp", "v")
+
+
 def links(fps: DataFrame, bits: int = 2, bucket: int = BUCKET) -> DataFrame:
     """a, b: pairs of different fingerprints that connect all that differ in ``bits`` bits or fewer.
 
-    fps: a written table of distinct ``fp``. Candidates share an equal chain of two segments. In a
-    bucket of up to ``bucket`` fingerprints they meet pair by pair, and a pair is counted only if
-    every longer chain from there differs in no more bits than its share of the budget. A larger
-    bucket isn't paired: there each fingerprint is listed under every value one bit away (one
-    flip for each two bits of budget), and those listed under a value, which are all within the
-    budget of each other, are tied to the smallest; this loses no connection and takes rows in
-    proportion to the fingerprints.
+    fps: a written table of distinct ``fp``. A fingerprint is cut into 2 * bits + 1 segments. Pairs
+    that differ in ``bits`` bits at most have a segment from which every chain of segments keeps to
+    its share of the budget; the chain of two must be equal, and equal chains make the buckets. In a
+    bucket the pairs whose longer chains all keep to their shares go on to the full Hamming check.
+
+    A bucket of over ``bucket`` fingerprints isn't paired. Its members are listed under every value
+    that is bits // 2 flips of their other bits away, and again under those bits - bits // 2 flips
+    away; two within the budget of each other meet under a value between them, one in each list. All
+    in the second list of a value are tied to the smallest in the first one, which is within the
+    budget of them, so no connection is lost, and the rows stay in proportion to the members.
     """
     boxes = _boxes(bits)
     m = len(boxes)
-    chains = F.array(*[F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(_chain(boxes, i, 2))).alias("k")) for i in range(m)])
+    chain = lambda i, length: F.lit(_chain(boxes, i, length))
+    chains = F.array(*[F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(chain(i, 2)).alias("k")) for i in range(m)])
     keyed = fps.select("fp", F.explode(chains).alias("c")).select("fp", "c.i", "c.k")
     shared = keyed.groupBy("i", "k").agg(F.count("*").alias("n")).filter("n > 1")
     cand = materialize(keyed.join(shared, ["i", "k"]), "simhash-candidates")
     light = cand.filter(F.col("n") <= bucket).drop("n")
-    other = light.select("i", "k", F.col("fp").alias("b"))
     diff = F.col("fp").bitwiseXOR(F.col("b"))
 
-    def within(i: int) -> Column:
-        ok = F.bit_count(diff) <= bits
-        for length in range(3, m):
-            ok &= F.bit_count(diff.bitwiseAND(F.lit(_chain(boxes, i, length)))) <= length * bits // m
-        return ok
+    def keeps(i: int) -> Column:
+        """The chains from segment i keep to their shares, short ones first, then the whole does."""
+        parts = [F.bit_count(diff.bitwiseAND(chain(i, length))) <= length * bits // m for length in range(3, m)]
+        return reduce(lambda a, b: a & b, [*parts, F.bit_count(diff) <= bits])
 
-    pairs = light.join(other, ["i", "k"]).filter(F.col("fp") < F.col("b"))
-    rule = within(0)
-    for i in range(1, m):
-        rule = F.when(F.col("i") == i, within(i)).otherwise(rule)
+    rule = reduce(lambda other, i: F.when(F.col("i") == i, keeps(i)).otherwise(other), range(1, m), keeps(0))
+    pairs = light.join(light.select("i", "k", F.col("fp").alias("b")), ["i", "k"]).filter(F.col("fp") < F.col("b"))
     out = pairs.filter(rule).select(F.col("fp").alias("a"), "b")
-    if cand.filter(F.col("n") > bucket).limit(1).count():
-        heavy = cand.filter(F.col("n") > bucket).select("fp").distinct()
-        for _ in range((bits + 1) // 2):
-            flips = F.array(F.lit(0).cast("long"), *[F.lit(_signed(1 << j)) for j in range(64)])
-            heavy = heavy.select("fp", F.explode(flips).alias("f"), *([] if "v" not in heavy.columns else ["v"]))
-            heavy = heavy.select("fp", (F.col("v") if "v" in heavy.columns else F.col("fp")).bitwiseXOR(F.col("f")).alias("v"))
-        least = heavy.groupBy("v").agg(F.min("fp").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
-        near = heavy.join(least, "v").filter("a <> fp").filter(F.bit_count(F.col("a").bitwiseXOR(F.col("fp"))) <= bits)
-        out = out.union(near.select("a", F.col("fp").alias("b")).distinct())
+    heavy = cand.filter(F.col("n") > bucket)
+    if heavy.limit(1).count():
+        free = F.get(F.array(*[F.bitwise_not(chain(i, 2)) for i in range(m)]), F.col("i"))
+        heavy = heavy.withColumn("free", free)
+        least = _flipped(heavy, bits // 2).groupBy("i", "k", "v").agg(F.min("fp").alias("a"))
+        tied = _flipped(heavy, bits - bits // 2).join(least, ["i", "k", "v"]).filter("a <> fp")
+        out = out.union(tied.select("a", F.col("fp").alias("b")).distinct())
     return out
 
 
