@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,11 +10,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bound on the labelled rows that a fit uses, and on the unlabelled ones it may pseudo-label.
-LABELLED, POOL = 4096, 2048
+from .common import drop_scratch, materialize, unused
+
+#: Bound on the labelled rows that a fit uses.
+LABELLED = 4096
 ROUNDS = 3
-#: Pseudo-labels that a view hands to the other in a round, as a share of the pool, and how sure it must be.
-SHARE, SURE = 0.1, 0.98
+#: Pseudo-labels that a view hands to the other in a round, and how sure it must be.
+HANDED, SURE = 192, 0.98
 
 #: Byte classes: control, white space, digit, lower, upper, sentence mark, other mark, not ASCII.
 CLASS = np.zeros(256, np.int64)
@@ -129,66 +131,116 @@ def _calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return (max(float(w[0]), 0.0), float(w[1]))
 
 
-def co_train(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, ut: np.ndarray, um: np.ndarray) -> CoTrained:
-    """Fit both views on the labelled rows; in each round each view labels the pool rows it is
-    surest of, and the other learns them too; calibrate on a third of the labelled rows held back."""
+def co_train(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, surest, rounds: int = ROUNDS) -> CoTrained:
+    """Fit both views on the labelled rows; in each round each view labels the other rows it is
+    surest of, and the other learns them too; calibrate on a third of the labelled rows held back.
+
+    surest(text, meta, counts) looks through all rows without a label: for each view and class the
+    counts[class] different texts that the view is surest of, as (view, class, hash of the text,
+    text features, metadata features).
+    """
     held = np.arange(len(y)) % 3 == 2
     lt, lm, ly = xt[~held], xm[~held], y[~held]
-    given = {"text": {}, "meta": {}}  # pool rows and labels that a view has been given
+    given: dict[str, dict] = {"text": {}, "meta": {}}  # rows and labels that a view has been given, by hash
     prior = float(np.clip(y.mean(), 0.01, 0.99))
+    # each class gets pseudo-labels in proportion to its share of the labels
+    counts = (max(1, round(HANDED * (1 - prior))), max(1, round(HANDED * prior)))
 
     def fits() -> tuple[Logistic, Logistic]:
         out = []
-        for x, u, name in ((lt, ut, "text"), (lm, um, "meta")):
-            more = sorted(given[name])
-            out.append(Logistic.fit(np.r_[x, u[more]], np.r_[ly, [given[name][i] for i in more]]))
+        for x, name in ((lt, "text"), (lm, "meta")):
+            more = [given[name][k] for k in sorted(given[name])]
+            out.append(Logistic.fit(np.r_[x, np.array([m[0] for m in more]).reshape(-1, x.shape[1])], np.r_[ly, [m[1] for m in more]]))
         return out[0], out[1]
 
     text, meta = fits()
-    for _ in range(ROUNDS if len(ut) else 0):
-        for view, u, other in ((text, ut, "meta"), (meta, um, "text")):
-            p = _sigmoid(view.logit(u))
-            # each class gets pseudo-labels in proportion to its share of the labels
-            for label, sure, share in ((1.0, p, prior), (0.0, 1 - p, 1 - prior)):
-                n = max(1, round(SHARE * len(u) * share))
-                for i in np.argsort(-sure, kind="stable")[:n]:
-                    if sure[i] >= SURE:
-                        given[other].setdefault(int(i), label)
+    for _ in range(rounds):
+        for view, label, key, t, m in surest(text, meta, counts):
+            if view == "text":
+                given["meta"].setdefault(key, (m, float(label)))
+            else:
+                given["text"].setdefault(key, (t, float(label)))
         text, meta = fits()
     scales = [_calibrate(view.logit(x[held]), y[held]) for view, x in ((text, xt), (meta, xm))]
     return CoTrained(text, meta, scales[0], scales[1], float(np.log(prior / (1 - prior))))
 
 
+def _best(sure: np.ndarray, keys: np.ndarray, n: int) -> np.ndarray:
+    """The n surest of different keys, of those that are sure enough; ties by key."""
+    order = np.lexsort((keys, -sure))
+    order = order[sure[order] >= SURE]
+    _, first = np.unique(keys[order], return_index=True)
+    return order[np.sort(first)][:n]
+
+
 def _meta_columns(df: DataFrame) -> list:
     kinds = dict(df.dtypes)
     return [(F.col(c).cast(t) if c in kinds else F.lit(None).cast(t)).alias(c) for c, t in (("lang", "string"), ("source", "string"), ("n_chars", "double"))]
 
 
-def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", labelled: int = LABELLED, pool: int = POOL) -> CoTrained | None:
-    """Co-train on a bounded sample: ``labelled`` labelled rows and ``pool`` others, those with the
-    smallest hash of the key. Only their features reach the driver, some 4 KB a row.
+def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", labelled: int = LABELLED, rounds: int = ROUNDS) -> CoTrained | None:
+    """Co-train on ``labelled`` labelled rows at most, those with the smallest hash of the key, and on
+    what the views are surest of among all other rows, which every round looks through whole.
 
     Null keys and labels are ignored; a key with several labels takes their majority, good on a
-    tie. None if there are fewer than three rows of either class.
+    tie; of rows with one key, that with the smallest hash counts. Equal texts are one candidate for
+    a pseudo-label. Only features of the labelled rows and of the surest ones reach the driver,
+    some 4 KB a row. None if there are fewer than three rows of either class.
     """
     good = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("k")).agg((F.avg(label) >= 0.5).cast("double").alias("y"))
-    ids = df.select(F.col(key).alias("k")).filter("k is not null")
-    by = F.xxhash64(F.lit(17), "k")
-    known = ids.join(good, "k").orderBy(by, "k").limit(labelled)
-    rest = ids.join(good, "k", "left_anti").orderBy(by, "k").limit(pool).withColumn("y", F.lit(-1.0))
-    chosen = known.union(rest).dropDuplicates(["k"])
+    ids = df.select(F.col(key).alias("k")).filter("k is not null").distinct()
+    chosen = ids.join(good, "k").orderBy(F.xxhash64(F.lit(17), "k"), "k").limit(labelled)
     vectors = _features_udf()
-    rows = df.select(F.col(key).alias("k"), F.col(text).alias("t"), *_meta_columns(df)).join(F.broadcast(chosen), "k").select("k", "y", vectors("t", "lang", "source", "n_chars").alias("x"))
-    got = rows.toPandas().sort_values(["k"], kind="stable").drop_duplicates("k")
+    one = df.select(F.col(key).alias("k"), F.struct(F.col(text).alias("t"), *_meta_columns(df)).alias("d"))
+    rows = one.join(F.broadcast(chosen), "k").groupBy("k").agg(F.first("y").alias("y"), F.min_by("d", F.xxhash64("d")).alias("d"))
+    got = rows.select("k", "y", vectors("d.t", "d.lang", "d.source", "d.n_chars").alias("x")).toPandas().sort_values(["k"], kind="stable")
     if not len(got):
         return None
     x, y = np.array([np.frombuffer(b, np.float64) for b in got["x"]]), got["y"].to_numpy()
-    mine = y >= 0
     if min((y == 1).sum(), (y == 0).sum()) < 3:
         return None
+    others = one.join(F.broadcast(chosen.select("k")), "k", "left_anti").select("d.*")
     # both classes in the same order in each third
-    order = np.argsort(-y[mine], kind="stable")
-    return co_train(x[mine][order, :N_TEXT], x[mine][order, N_TEXT:], y[mine][order], x[~mine][:, :N_TEXT], x[~mine][:, N_TEXT:])
+    order = np.argsort(-y, kind="stable")
+    return co_train(x[order, :N_TEXT], x[order, N_TEXT:], y[order], lambda *a: _surest(others, *a), rounds)
+
+
+def _surest(others: DataFrame, text: Logistic, meta: Logistic, counts: tuple[int, int]) -> list[tuple]:
+    """See co_train. Each task keeps the surest rows it meets; theirs are merged by a distributed sort."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import xxhash
+
+        kept: dict[tuple, list] = {(v, c): [np.zeros(0), np.zeros(0, np.int64), np.zeros((0, N_TEXT + N_META))] for v in ("text", "meta") for c in (0, 1)}
+        for b in batches:
+            rows = list(zip(*(c.to_pylist() for c in b.columns)))
+            if not rows:
+                continue
+            x = np.array([np.concatenate([text_features(t), meta_features(*m)]) for t, *m in rows])
+            keys = np.array([xxhash.xxh64_intdigest((t or "").encode("utf-8", "surrogatepass"), 5) >> 1 for t, *_ in rows], np.int64)
+            for view, model, part in (("text", text, x[:, :N_TEXT]), ("meta", meta, x[:, N_TEXT:])):
+                p = _sigmoid(model.logit(part))
+                for c, sure in ((0, 1 - p), (1, p)):
+                    mine = _best(sure, keys, counts[c])
+                    all_ = [np.concatenate(y) for y in zip(kept[view, c], (sure[mine], keys[mine], x[mine]))]
+                    top = _best(all_[0], all_[1], counts[c])
+                    kept[view, c] = [y[top] for y in all_]
+        for (view, c), (sure, keys, x) in kept.items():
+            if len(keys):
+                yield pa.RecordBatch.from_arrays([pa.array([view] * len(keys)), pa.array([c] * len(keys), pa.int32()), pa.array(sure), pa.array(keys), pa.array([v.tobytes() for v in x], pa.binary())], ["view", "label", "sure", "key", "x"])
+
+    kept = materialize(others.select("t", "lang", "source", "n_chars").mapInArrow(run, "view string, label int, sure double, key bigint, x binary"), "quality-surest")
+    out = []
+    for view in ("text", "meta"):
+        for c in (0, 1):
+            # a text that stands under several names has one key and several metadata: the surest counts
+            part = kept.filter((F.col("view") == view) & (F.col("label") == c)).groupBy("key").agg(F.max(F.struct("sure", "x")).alias("r"))
+            for r in part.orderBy(F.desc("r.sure"), "key").limit(counts[c]).collect():
+                x = np.frombuffer(r["r"]["x"], np.float64)
+                out.append((view, c, r["key"], x[:N_TEXT], x[N_TEXT:]))
+    drop_scratch(kept)
+    return out
 
 
 def _features_udf():
@@ -223,9 +275,10 @@ def score(df: DataFrame, model: CoTrained | None, text: str = "text") -> DataFra
         xm = np.array([meta_features(*a) for a in zip(lang, source, n)])
         return pd.DataFrame(dict(zip(("quality", "by_text", "by_metadata"), model.score(xt, xm))))
 
-    rated = df.withColumn("__r", rate.asNondeterministic()(F.col(text), *_meta_columns(df)))
-    zero = lambda c: F.when(blank, F.lit(0.0)).otherwise(F.col(f"__r.{c}")).alias(c)
-    return rated.withColumn("scores", F.struct(zero("quality"), zero("by_text"), F.col("__r.by_metadata").alias("by_metadata"))).drop("__r")
+    name = unused(df, "__r")
+    rated = df.withColumn(name, rate.asNondeterministic()(F.col(text), *_meta_columns(df)))
+    zero = lambda c: F.when(blank, F.lit(0.0)).otherwise(F.col(f"{name}.{c}")).alias(c)
+    return rated.withColumn("scores", F.struct(zero("quality"), zero("by_text"), F.col(f"{name}.by_metadata").alias("by_metadata"))).drop(name)
 
 
 def classify(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", threshold: float = 0.5) -> DataFrame:
