@@ -64,14 +64,17 @@ def mix(df: DataFrame, source: str = "source", text: str = "text", key: str = "d
     Adds size (words; null text: 0), source_size, target (double), copies (int) and taken (size *
     copies, long). Null is a source of its own, ranked last. Rows without words finish with the
     row before them. Ties in finish time: smaller source rank, hash, key. Equal rows are separate
-    documents. An empty table gives no rows. Extra columns are kept; columns with the added names
-    are replaced.
+    documents. An empty table gives no rows. Extra columns are kept, whatever their names; columns
+    with the added names are replaced (mixed_rows keeps those of the input). df is read twice and
+    must give the same rows in the same partitions each time, as tables do.
     """
-    df = df.drop("size", "source_size", "target", "copies", "taken")
-    src = F.col(source)
-    keyed = df.select("*", word_count(text).alias("size"), F.md5(F.concat_ws("/", F.col(key).cast("string"), F.lit(str(seed)))).alias("__h"), content_hash(df).alias("__t"), F.monotonically_increasing_id().alias("__i"), src.isNull().cast("int").alias("__null"))
+    df = df.drop("size", "source_size", "target", "copies", "taken", "finish_times")
+    # the row travels as one struct, so that no column's name clashes with those worked with here
+    row = F.struct(*[f"`{c}`" for c in df.columns])
+    hashed = F.md5(F.concat_ws("/", F.col(key).cast("string"), F.lit(str(seed))))
+    keyed = df.select(row.alias("row"), F.col(source).alias("source"), F.col(key).alias("key"), word_count(text).alias("size"), hashed.alias("__h"), content_hash(df).alias("__t"), F.monotonically_increasing_id().alias("__i"), F.col(source).isNull().cast("int").alias("__null"))
+    source, key = "source", "key"
     order = ["__null", source, "__h", key, "__t", "__i"]
-    order = list(dict.fromkeys(order))
     slim = materialize(keyed.select(*order, "size"), "mix-keys")
     sizes = slim.groupBy(source).agg(F.sum("size").alias("source_size"))
     goal = materialize(targets(sizes, weights, share, cap, source), "mix-targets")
@@ -104,7 +107,7 @@ def mix(df: DataFrame, source: str = "source", text: str = "text", key: str = "d
         one = [F.when(F.struct(F.get("__tags", F.lit(e)).alias("__finish"), *[F.col(c).alias(c) for c in tie[1:-1]], F.lit(e).alias("__pass")) <= edge, F.get("__tags", F.lit(e)).isNotNull().cast("int")).otherwise(0) for e in range(cap)]
         copies = sum(one[1:], one[0])
     rows = rows.withColumn("copies", copies)
-    return Mixed(rows.select(*[f"`{c}`" for c in df.columns], "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), F.col("__tags").alias("finish_times")), budget)
+    return Mixed(rows.select("row.*", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), F.col("__tags").alias("finish_times")), budget)
 
 
 def mixed_rows(mixed: Mixed, columns: list[str]) -> DataFrame:

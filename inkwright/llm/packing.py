@@ -19,11 +19,13 @@ CLOSE = 8
 ROUNDS = 3
 
 
-def pieces(df: DataFrame, tokenizer: str, end_id: int, size: int = 4096, key: str = "doc_id", text: str = "text", added: bool = False) -> DataFrame:
+def pieces(df: DataFrame, tokenizer: str, end_id: int, size: int = 4096, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode every text, append ``end_id``, and cut what is longer than ``size`` into pieces.
 
     Returns a written table: doc_id, uid (tells rows apart, also those with the same key), piece,
-    start, length, ids_crc32, ids (binary). Null text is empty and gives the end id alone. ``added``: see Encoder.
+    start, length, ids_crc32, ids (binary). Null text is empty and gives the end id alone; null and
+    repeated keys are documents of their own. Texts are encoded whole, however long. An empty table
+    gives no rows; other columns play no part.
     """
     kind = dict(df.dtypes)[key]
     rows = df.select(F.col(key).alias("doc_id"), F.monotonically_increasing_id().alias("uid"), F.col(text).alias("text"))
@@ -33,7 +35,7 @@ def pieces(df: DataFrame, tokenizer: str, end_id: int, size: int = 4096, key: st
 
         from .tokens import Encoder
 
-        encoder = Encoder(tokenizer, end_id, added)
+        encoder = Encoder(tokenizer, end_id)
         end, wide = encoder.pack([end_id]), size * encoder.width
         for batch in batches:
             at, piece, start, length, crc, ids = [], [], [], [], [], []

@@ -35,11 +35,14 @@ def shard(df: DataFrame, key: str = "doc_id", text: str = "text", n_shards: int
     first. Rows of one key are ordered by a hash of the whole row, then by their place in the
     input; a key with a third of all rows is split like any other. Equal rows are told apart by
     place only and may change slots with each other. An empty table gives no rows. Extra columns
-    are kept; columns named shard, slot or size are replaced.
+    are kept, whatever their names; columns named shard, slot or size are replaced. df is read twice
+    and must give the same rows in the same partitions each time, as tables do.
     """
     df = df.drop("shard", "slot", "size")
-    keyed = df.select("*", (utf8_size(text) + overhead).alias("size"), content_hash(df).alias("__h"), F.monotonically_increasing_id().alias("__i"))
-    order = [key, "__h", "__i"]
+    # the row travels as one struct, so that no column's name clashes with those worked with here
+    row = F.struct(*[f"`{c}`" for c in df.columns])
+    keyed = df.select(row.alias("row"), F.col(key).alias("key"), (utf8_size(text) + overhead).alias("size"), content_hash(df).alias("h"), F.monotonically_increasing_id().alias("i"))
+    order = ["key", "h", "i"]
     slim = materialize(keyed.select(*order, "size"), "shard-keys")
     plan = plan_ranges(slim, order, "size", range_bytes, min_ranges=n_shards * ranges_per_shard)
     total = max(1, plan.total)
@@ -48,7 +51,7 @@ def shard(df: DataFrame, key: str = "doc_id", text: str = "text", n_shards: int
     first = F.create_map(*[F.lit(x) for kv in sorted(firsts.items()) for x in kv]) if firsts else F.create_map(F.lit(0), F.lit(0))
     placed = plan.prefix(keyed, "__before", "__index").withColumn("shard", at)
     placed = placed.withColumn("slot", F.col("__index") - F.element_at(first.cast("map<int,bigint>"), F.col("shard")))
-    return Sharded(placed.select(*[f"`{c}`" for c in df.columns], "size", "shard", "slot"), plan, n_shards)
+    return Sharded(placed.select("row.*", "size", "shard", "slot"), plan, n_shards)
 
 
 def write_shards(sharded: Sharded, path: str) -> None:

@@ -160,13 +160,3 @@ def simhash_groups(df: DataFrame, key: str = "doc_id", text: str = "text", width
     found = fingerprints(df, key, text, width)
     named = groups(found, bits)
     return found.join(named, "fp").select(F.col("doc_id").alias(key), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
-
-
-def drop_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, bits: int = 2) -> DataFrame:
-    """The rows of df without near-duplicates: of each group the row with the smallest key stays.
-
-    df is read twice and must give the same rows in the same partitions each time, as tables do.
-    """
-    named = groups(fingerprints(df, key, text, width), bits)
-    stay = named.select(F.col("first.uid").alias("__uid")).distinct()
-    return df.withColumn("__uid", F.monotonically_increasing_id()).join(stay, "__uid", "left_semi").drop("__uid")

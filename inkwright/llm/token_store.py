@@ -2,25 +2,27 @@
 
 from __future__ import annotations
 
-import json
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import content_hash, materialize, utf8_size
 from .ranges import plan_ranges
 
-MAGIC = b"IWTS1\0"
+MAGIC = b"IWTS2\0"
 HEADER = struct.Struct("<6sBBQQQ")
-#: One position is kept of so many set bits; select scans no further.
+#: One position is kept of so many set bits, in 32 bits; select scans no further.
 STRIDE = 256
 #: Bytes of text in a range, of ids in a segment.
-RANGE_BYTES = 32 << 20
+RANGE_BYTES = 256 << 20
 SEGMENT_BYTES = 64 << 20
+#: Ranges whose ids are summed together, and segments up to which their bases are broadcast.
+BLOCK, BROADCAST = 1024, 1 << 20
 
 
 class EliasFano:
@@ -38,9 +40,11 @@ class EliasFano:
         shift = np.arange(bits, dtype=np.uint64)
         low = np.packbits(((values[:, None] >> shift) & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little")
         at = (values >> np.uint64(bits)).astype(np.int64) + np.arange(n)
+        if n and at[-1] >= 1 << 32:
+            raise ValueError("too many values for one sequence")
         high = np.zeros(int(at[-1]) + 1 if n else 0, np.uint8)
         high[at] = 1
-        return cls(n, bits, low, np.packbits(high, bitorder="little"), at[::STRIDE].astype("<u8"))
+        return cls(n, bits, low, np.packbits(high, bitorder="little"), at[::STRIDE].astype("<u4"))
 
     def select(self, k: int) -> np.ndarray:
         """Values k to k + STRIDE - 1 (fewer at the end); k is a multiple of STRIDE."""
@@ -76,7 +80,7 @@ def read_segment(blob: bytes) -> tuple[EliasFano, np.ndarray]:
     if magic != MAGIC:
         raise ValueError("not a token segment")
     at = HEADER.size
-    samples = np.frombuffer(blob, "<u8", -(-n // STRIDE), at)
+    samples = np.frombuffer(blob, "<u4", -(-n // STRIDE), at)
     at += samples.nbytes
     high = np.frombuffer(blob, np.uint8, n_high, at)
     at += n_high
@@ -85,7 +89,7 @@ def read_segment(blob: bytes) -> tuple[EliasFano, np.ndarray]:
     return EliasFano(n, low_bits, low, high, samples), np.frombuffer(blob, f"<u{width}", n_ids, at)
 
 
-def write_tokens(df: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text", range_bytes: int = RANGE_BYTES, added: bool = False) -> DataFrame:
+def write_tokens(df: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text", range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Encode every text, append ``end_id``, and write segments in ascending order of the key.
 
     Returns the written table: range, part (their order is the order of the ids), keys (of the
@@ -93,7 +97,6 @@ def write_tokens(df: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id"
     task holds a range of text at most, or one document that is larger. Null text is empty and
     gives the end id alone. Null keys come first; rows of one key are ordered by a hash of the row,
     then by place. An empty table gives no segments. Other columns play no part.
-    ``added``: see Encoder.
     """
     keyed = df.select(F.col(key).alias("key"), F.col(text).alias("text"), utf8_size(text).alias("size"), content_hash(df).alias("h"), F.monotonically_increasing_id().alias("i"))
     order = ["key", "h", "i"]
@@ -107,7 +110,7 @@ def write_tokens(df: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id"
 
         from .tokens import Encoder
 
-        encoder, at, part, size = Encoder(tokenizer, end_id, added), None, 0, 0
+        encoder, at, part, size = Encoder(tokenizer, end_id), None, 0, 0
         end = encoder.pack([end_id])
         keys: list = []
         ids: list[bytes] = []
@@ -137,14 +140,21 @@ def write_tokens(df: DataFrame, tokenizer: str, end_id: int, key: str = "doc_id"
 
 
 def read_tokens(segments: DataFrame) -> DataFrame:
-    """Read segments back: doc_id, start (ids of all documents before it), ids (binary, as stored), width."""
+    """Read segments back: doc_id, start (ids of all documents before it), n_tokens, ids_crc32, ids (binary, as stored).
+
+    One row for each document that was written, in whatever order the segments come; ties and
+    repeated keys keep the order they were written in. No segments: no rows.
+    """
     kind = dict(segments.dtypes)["keys"][len("array<") : -1]
-    bases, total = {}, 0
-    # one number for each range of text
-    for r, p, n in sorted(tuple(x) for x in segments.select("range", "part", "n_ids").collect()):
-        bases[f"{r}/{p}"] = total
-        total += n
-    base = F.element_at(F.from_json(F.lit(json.dumps(bases)), "map<string,bigint>"), F.concat_ws("/", "range", "part"))
+    # ids before each segment: sums within blocks of ranges, then over the blocks
+    sizes = segments.select("range", "part", "n_ids").withColumn("block", F.floor(F.col("range") / BLOCK))
+    before = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    inner = sizes.withColumn("inner", before(W.partitionBy("block").orderBy("range", "part"), "n_ids"))
+    blocks = sizes.groupBy("block").agg(F.sum("n_ids").alias("n")).withColumn("outer", before(W.partitionBy(F.lit(0)).orderBy("block"), "n")).drop("n")
+    bases = inner.join(blocks, "block").select("range", "part", (F.col("inner") + F.col("outer")).alias("base"))
+    # a row of 24 bytes for each segment of many megabytes; beyond the bound the join is Spark's to plan
+    small = segments.count() <= BROADCAST
+    based = segments.join(F.broadcast(bases) if small else bases, ["range", "part"])
 
     def decode(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -158,4 +168,4 @@ def read_tokens(segments: DataFrame) -> DataFrame:
                     starts = np.concatenate([[bounds.value(k - 1) if k else 0], ends[:-1]])
                     yield pa.RecordBatch.from_arrays([keys[k : k + len(ends)], pa.array(starts + base), pa.array(ends - starts), pa.array([zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(starts, ends)], pa.int64()), pa.array([ids[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary())], ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
 
-    return segments.select("keys", base.alias("base"), "segment").mapInArrow(decode, f"doc_id {kind}, start bigint, n_tokens bigint, ids_crc32 bigint, ids binary")
+    return based.select("keys", "base", "segment").mapInArrow(decode, f"doc_id {kind}, start bigint, n_tokens bigint, ids_crc32 bigint, ids binary")

@@ -50,17 +50,16 @@ class Encoder:
 
     Texts of plain characters are cut at the vocabulary's own pretoken borders and each distinct
     pretoken is encoded once by the library's model; any other text, or another pre-tokenizer,
-    goes to the library whole. With ``added``, as the library does by default, added tokens in a
-    text get their own ids: texts that hold one's content in any case go to the library whole.
+    goes to the library whole. Added tokens in a text get their own ids, as the library's default
+    is: texts that hold one's content in any case go to the library whole.
     """
 
-    def __init__(self, path: str, extra_id: int = 0, added: bool = False):
+    def __init__(self, path: str, extra_id: int = 0):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = not added
-        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.width = 2 if max(self.tokenizer.get_vocab_size(with_added_tokens=True) - 1, extra_id) < 1 << 16 else 4
         self.code = "H" if self.width == 2 else "I"
         with open(path, encoding="utf-8") as f:
@@ -87,7 +86,7 @@ class Encoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        low = text.lower() if self.added else text
+        low = text.lower()
         if self.pattern and PLAIN.fullmatch(text) and not any(c in low for c in self.added):
             return b"".join(map(self.memo.__getitem__, self.pattern.findall(text)))
         return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)

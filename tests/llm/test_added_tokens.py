@@ -21,7 +21,7 @@ def library(path, text):
 
 @pytest.mark.parametrize("path", [BYTES, WORDS])
 def test_added_tokens_get_their_ids(path):
-    e = Encoder(path, added=True)
+    e = Encoder(path)
     for text in TEXTS:
         assert np.frombuffer(e.encode(text), f"<u{e.width}").tolist() == library(path, text), repr(text)
 

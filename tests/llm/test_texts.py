@@ -60,13 +60,10 @@ def test_simhash_groups(spark):
     fps = [slow_fingerprint(t) for _, t in rows]
     want = parts(fps, [i for i, _ in rows])
     assert sorted((repr(x.doc_id), x.fingerprint, x.component_id) for x in got) == sorted((repr(i), f"{f:016x}", c) for (i, _), f, c in zip(rows, fps, want))
-    kept = simhash.drop_near_duplicates(docs(spark, rows)).collect()
-    assert len(kept) == len(set(want)) and {x.doc_id for x in kept} == set(want)
 
 
 def test_simhash_of_nothing(spark):
     assert simhash.simhash_groups(docs(spark, [])).count() == 0
-    assert simhash.drop_near_duplicates(docs(spark, [])).count() == 0
 
 
 @pytest.mark.parametrize(("bits", "bucket"), [(2, 256), (2, 2), (1, 256), (3, 256), (3, 4)])

@@ -20,7 +20,6 @@ ODD = ["", None, " ", "a", "  two  spaces ", "it's WE'LL 'S don''t", "tab\tnl\n\
 
 def library(path, text):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -49,7 +48,6 @@ def _encoder(path):
 def _library(path):
     if (path, 1) not in _made:
         _made[path, 1] = Tokenizer.from_file(path)
-        _made[path, 1].encode_special_tokens = True
     return _made[path, 1]
 
 
