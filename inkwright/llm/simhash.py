@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -20,6 +20,15 @@ BLOCK = 1 << 15
 BUCKET = 256
 
 
+def majority(blocks: Iterable[np.ndarray]) -> int:
+    """The bits that are set in over half of the 64-bit hashes."""
+    ones, n = np.zeros(64, np.int64), 0
+    for found in blocks:
+        ones += np.unpackbits(found.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        n += len(found)
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: str | None, width: int = 3) -> int:
     """64-bit SimHash of word shingles, as an unsigned integer.
 
@@ -37,11 +46,8 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     ends = np.cumsum(size + 1) - 1
     starts = (ends - size)[:n].tolist()
     ends = ends[min(width, len(words)) - 1 :].tolist()
-    hash_, ones = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
-    for k in range(0, n, BLOCK):
-        found = np.array([hash_(joined[a:b], SEED) for a, b in zip(starts[k : k + BLOCK], ends[k : k + BLOCK])], "<u8")
-        ones += np.unpackbits(found.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+    hash_ = xxhash.xxh64_intdigest
+    return majority(np.array([hash_(joined[a:b], SEED) for a, b in zip(starts[k : k + BLOCK], ends[k : k + BLOCK])], np.uint64) for k in range(0, n, BLOCK))
 
 
 def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
