@@ -9,14 +9,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release
-
-#: Bytes of text that are handled at once; a longer document stands alone.
-PACK = 4 << 20
-#: Bytes of text behind a bucket of hashes, or a range of suffixes.
-BUCKET = 24 << 20
-#: Leading bytes sampled for splitters, over all packs and in a pack.
-SAMPLE, SAMPLE_PACK = 20_000, 64
+from .common import materialize, release, utf8_size
+
+#: Bytes of text that are handled at once (at least; a longer document stands alone), and behind a
+#: bucket of hashes or a range of suffixes, as multiples of the root of all bytes: each pack sends a
+#: row to each bucket, so rows grow in proportion to the text, and tasks with its root.
+PACK, PACK_ROOT, BUCKET_ROOT = 4 << 20, 4, 50
+#: Leading bytes sampled for splitters: in all at least, for each range, and in a pack at most.
+SAMPLE, SAMPLE_RANGE, SAMPLE_PACK = 20_000, 8, 64
 LAST = np.iinfo(np.int64).max
 
 
@@ -33,29 +33,33 @@ def _grow(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
-def _pack(batches: Iterator) -> Iterator:
+def _packed(size: int):
     """Whole documents gathered to packs: pack (uid of its first document), docs, sizes, data."""
-    import pyarrow as pa
 
-    uids, docs, parts, held = [], [], [], 0
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        uids, docs, parts, held = [], [], [], 0
 
-    def flush():
-        out = [pa.array([uids[0]], pa.int64()), pa.array([list(docs)], pa.list_(pa.int64())), pa.array([[len(p) for p in parts]], pa.list_(pa.int64())), pa.array([_shrink(b"".join(parts))], pa.binary()), pa.array([held], pa.int64())]
-        uids.clear(), docs.clear(), parts.clear()
-        return pa.RecordBatch.from_arrays(out, ["pack", "docs", "sizes", "data", "bytes"])
+        def flush():
+            out = [pa.array([uids[0]], pa.int64()), pa.array([list(docs)], pa.list_(pa.int64())), pa.array([[len(p) for p in parts]], pa.list_(pa.int64())), pa.array([_shrink(b"".join(parts))], pa.binary())]
+            uids.clear(), docs.clear(), parts.clear()
+            return pa.RecordBatch.from_arrays(out, ["pack", "docs", "sizes", "data"])
 
-    for b in batches:
-        for u, d, t in zip(*(c.to_pylist() for c in b.columns)):
-            t = t.encode() if t else b""
-            if parts and held + len(t) > PACK:
-                yield flush()
-                held = 0
-            uids.append(u)
-            docs.append(d)
-            parts.append(t)
-            held += len(t)
-    if parts:
-        yield flush()
+        for b in batches:
+            for u, d, t in zip(*(c.to_pylist() for c in b.columns)):
+                t = t.encode() if t else b""
+                if parts and held + len(t) > size:
+                    yield flush()
+                    held = 0
+                uids.append(u)
+                docs.append(d)
+                parts.append(t)
+                held += len(t)
+        if parts:
+            yield flush()
+
+    return run
 
 
 def _rows(batch) -> Iterator[dict]:
@@ -239,8 +243,8 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     """doc_id, n_bytes, n_removed, spans (begin, end of each maximal removed run), kept (the bytes left).
 
     A byte goes if it is covered by a 50-byte string that also starts in a document with a smaller
-    key; strings lie within one document and are judged on the input. Null text is empty. Documents
-    of under 50 bytes lose nothing. Null keys count as larger than all others; documents with equal
+    key (a whole number; a key that can't be cast to one is an error); strings lie within one document
+    and are judged on the input. Null text is empty. Documents of under 50 bytes lose nothing. Null keys count as larger than all others; documents with equal
     keys don't repeat each other. An empty table gives no rows; other columns play no part.
 
     Of all suffixes those at anchors are kept (see suffixes), one in sixteen. A first exchange of
@@ -253,10 +257,10 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     """
     spark = df.sparkSession
     rows = df.select(F.monotonically_increasing_id().alias("uid"), F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
-    packs = materialize(rows.mapInArrow(_pack, "pack long, docs array<long>, sizes array<long>, data binary, bytes long"), "suffix-packs")
-    n, total = packs.agg(F.count("*"), F.sum("bytes")).first()
-    buckets = int(max(32, min(1 << 20, (total or 0) // BUCKET)))
-    rate = SAMPLE / (SAMPLE_PACK * max(1, n))
+    root = int((rows.agg(F.sum(utf8_size("text"))).first()[0] or 0) ** 0.5)
+    packs = materialize(rows.mapInArrow(_packed(max(PACK, PACK_ROOT * root)), "pack long, docs array<long>, sizes array<long>, data binary"), "suffix-packs")
+    buckets = max(32, root // BUCKET_ROOT)
+    rate = max(SAMPLE, SAMPLE_RANGE * buckets) / (SAMPLE_PACK * max(1, packs.count()))
     drawn = packs.filter(F.lit(rate) * 2**32 > F.pmod(F.xxhash64("pack"), F.lit(2**32))) if rate < 1 else packs
     leads = sorted(r[0] for r in drawn.mapInArrow(_leads(1.0), "lead binary").collect())
     leads = [bytes(x) for x in leads]

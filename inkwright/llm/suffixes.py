@@ -18,6 +18,8 @@ LEFT = RUNS - 1
 #: range of offsets of the windows that chose it.
 FRAME = WINDOW + LEFT + 8
 CHUNK = 1 << 17
+#: Rows of a group that the sort no longer cuts by itself.
+SMALL = 1 << 14
 _POS = np.uint64((1 << 20) - 1)
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -82,20 +84,44 @@ def frames(data: np.ndarray, pos: np.ndarray, first: np.ndarray, last: np.ndarra
 def multikey_sort(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of byte rows (width a multiple of 8), and where in it a row differs from the one before.
 
-    Quicksort with several keys: rows are sorted by their first eight bytes, and only those that
-    tie are sorted by the next eight, and so on.
+    Multikey quicksort, eight bytes a key: a group of rows that agree so far is cut into those below,
+    equal to and above a pivot's next key; the equal ones go on with the key after it. Groups of up
+    to SMALL rows are left for the end, where all of them are finished together, key by key.
     """
     n, words = len(rows), np.ascontiguousarray(rows).view(">u8")
-    order = np.argsort(words[:, 0], kind="stable") if n else np.zeros(0, np.int64)
-    new = np.ones(n, bool)
-    lead = words[order, 0]
-    new[1:] = lead[1:] != lead[:-1]
-    for j in range(1, words.shape[1]):
+    order, new = np.arange(n), np.zeros(n, bool)
+    new[:1] = True
+    depth = np.zeros(n, np.int64)  # keys in which a group is known to agree
+    todo = [(0, n, 0)]
+    while todo:
+        lo, hi, d = todo.pop()
+        depth[lo:hi] = d
+        if hi - lo <= SMALL or d == words.shape[1]:
+            continue
+        own = order[lo:hi]
+        key = words[own, d]
+        pivot = np.sort(key[:: max(1, len(key) // 99)])
+        pivot = pivot[len(pivot) // 2]
+        below, above = key < pivot, key > pivot
+        parts = own[below], own[~(below | above)], own[above]
+        order[lo:hi] = np.concatenate(parts)
+        for part, more in zip(parts, (0, 1, 0)):
+            if len(part):
+                new[lo] = True
+                todo.append((lo, lo + len(part), d + more))
+                lo += len(part)
+    _finish(words, order, new, depth)
+    return order, new
+
+
+def _finish(words: np.ndarray, order: np.ndarray, new: np.ndarray, depth: np.ndarray) -> None:
+    """Sort all groups of more than one row by the keys that are left of each."""
+    for j in range(words.shape[1]):
         tied = ~new
         tied[:-1] |= ~new[1:]
-        at = np.flatnonzero(tied)
+        at = np.flatnonzero(tied & (depth <= j))
         if not len(at):
-            break
+            continue
         group = np.cumsum(new)[at]
         value = words[order[at], j].astype(np.uint64)
         by = np.lexsort((value, group))
@@ -104,7 +130,6 @@ def multikey_sort(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         same = ~new[at]
         same[1:] &= value[1:] == value[:-1]
         new[at] = ~same
-    return order, new
 
 
 def first_documents(rows: np.ndarray, docs: np.ndarray) -> np.ndarray:

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from inkwright.llm import quality, secrets, simhash, substring_dedup
+from inkwright.llm import quality, secrets, simhash, substring_dedup, suffixes
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -132,6 +132,31 @@ def test_repeats_are_removed_exactly(spark):
     assert substring_dedup.remove_repeats(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("small", [1, 7, 1 << 14])
+def test_multikey_sort(monkeypatch, small):
+    monkeypatch.setattr(suffixes, "SMALL", small)
+    r = np.random.default_rng(small)
+    for n, kinds in ((0, 1), (1, 1), (500, 2), (3000, 3), (200, 250)):
+        rows = r.integers(0, kinds, (n, 24)).astype(np.uint8)
+        rows[: n // 2, :16] = 0
+        order, new = suffixes.multikey_sort(rows)
+        want = sorted(map(bytes, rows))
+        got = [bytes(rows[i]) for i in order]
+        assert got == want and new.tolist() == [i == 0 or want[i] != want[i - 1] for i in range(n)]
+
+
+def test_repeats_of_a_very_long_text_and_of_a_phrase_in_many(spark):
+    r = random.Random(8)
+    noise = lambda n: "".join(r.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+    long, phrase = noise(20 << 20), "a phrase that very many of the documents have in common, word for word"
+    rows = [(0, long), (1, "start " + long[5_000_000:5_000_200] + noise(100))]
+    rows += [(10 + i, noise(r.randrange(200)) + (phrase if i % 3 == 0 else "") + noise(r.randrange(200))) for i in range(6000)]
+    got = {x.doc_id: x for x in substring_dedup.remove_repeats(docs(spark, rows).repartition(4).persist()).collect()}
+    assert got[0].n_removed == 0 and got[1].n_removed == 200 and got[10].n_removed == 0
+    assert {i for i, x in got.items() if x.n_removed >= len(phrase)} == {1} | {10 + i for i in range(3, 6000, 3)}
+    assert all(x.n_removed == 0 for i, x in got.items() if i >= 10 and (i - 10) % 3)
+
+
 @pytest.fixture(scope="module")
 def forest(spark):
     return secrets.train(secrets.labelled_findings(spark), secrets.Vocabulary.load(public_tokenizers.path("word_bpe_49k.json")))
