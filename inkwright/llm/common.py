@@ -6,6 +6,7 @@ import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,6 +62,13 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def slices(batches: Iterator, rows: int = 512) -> Iterator:
+    """Arrow batches cut to at most ``rows`` rows, so that what a worker makes of one stays small."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
 def unused(df: DataFrame, stem: str) -> str:
     """A column name that df does not have."""
     taken = {c.lower() for c in df.columns}

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, slices
 
 #: Pieces that one task packs at once.
 GROUP = 16384
@@ -37,7 +37,7 @@ def pieces(df: DataFrame, tokenizer: str, end_id: int, size: int = 4096, key: st
 
         encoder = Encoder(tokenizer, end_id)
         end, wide = encoder.pack([end_id]), size * encoder.width
-        for batch in batches:
+        for batch in slices(batches):
             at, piece, start, length, crc, ids = [], [], [], [], [], []
             for row, t in enumerate(batch.column(2).to_pylist()):
                 whole = encoder.encode(t) + end

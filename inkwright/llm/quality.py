@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_scratch, materialize, unused
+from .common import drop_scratch, materialize, slices, unused
 
 #: Bound on the labelled rows that a fit uses.
 LABELLED = 4096
@@ -213,10 +213,8 @@ def _surest(others: DataFrame, text: Logistic, meta: Logistic, counts: tuple[int
         import xxhash
 
         kept: dict[tuple, list] = {(v, c): [np.zeros(0), np.zeros(0, np.int64), np.zeros((0, N_TEXT + N_META))] for v in ("text", "meta") for c in (0, 1)}
-        for b in batches:
+        for b in slices(batches):
             rows = list(zip(*(c.to_pylist() for c in b.columns)))
-            if not rows:
-                continue
             x = np.array([np.concatenate([text_features(t), meta_features(*m)]) for t, *m in rows])
             keys = np.array([xxhash.xxh64_intdigest((t or "").encode("utf-8", "surrogatepass"), 5) >> 1 for t, *_ in rows], np.int64)
             for view, model, part in (("text", text, x[:, :N_TEXT]), ("meta", meta, x[:, N_TEXT:])):
@@ -269,11 +267,13 @@ def score(df: DataFrame, model: CoTrained | None, text: str = "text") -> DataFra
 
     @F.pandas_udf(kind)
     def rate(t: pd.Series, lang: pd.Series, source: pd.Series, n: pd.Series) -> pd.DataFrame:
-        if not len(t):
-            return pd.DataFrame({"quality": [], "by_text": [], "by_metadata": []}, dtype=float)
-        xt = np.array([text_features(a) for a in t])
-        xm = np.array([meta_features(*a) for a in zip(lang, source, n)])
-        return pd.DataFrame(dict(zip(("quality", "by_text", "by_metadata"), model.score(xt, xm))))
+        out = np.zeros((3, len(t)))
+        for k in range(0, len(t), 512):
+            part = slice(k, k + 512)
+            xt = np.array([text_features(a) for a in t[part]])
+            xm = np.array([meta_features(*a) for a in zip(lang[part], source[part], n[part])])
+            out[:, part] = model.score(xt, xm)
+        return pd.DataFrame(dict(zip(("quality", "by_text", "by_metadata"), out)))
 
     name = unused(df, "__r")
     rated = df.withColumn(name, rate.asNondeterministic()(F.col(text), *_meta_columns(df)))

@@ -9,7 +9,7 @@ import sys
 from array import array
 
 #: Entries of the memo; each takes some 200 bytes. A full memo is emptied and filled again.
-MEMO = 1_000_000
+MEMO = 300_000
 
 # Characters whose class (letter, number, other) all Unicode versions agree on, and
 # that neither NFC nor lower case joins to their neighbours.
