@@ -147,9 +147,10 @@ def batch_timeout(pages: Column, explicit: Column, per_page: Column) -> Column:
 
 
 def layout_check(expected: DataFrame, actual: DataFrame, key: str = "dir") -> DataFrame:
-    """Batches that only one side has: unexpected ones are errors, missing ones can be resumed."""
-    e, a = expected.select(key), actual.select(key)
-    return a.subtract(e).withColumn("status", F.lit("unexpected")).unionByName(e.subtract(a).withColumn("status", F.lit("missing")))
+    """Batches that only one side has: unexpected ones are errors, missing ones can be resumed. One exchange."""
+    both = expected.select(key, F.lit(True).alias("expected")).unionByName(actual.select(key, F.lit(False).alias("expected")))
+    sides = both.groupBy(key).agg(F.bool_or("expected").alias("e"), F.bool_and("expected").alias("only"))
+    return sides.filter("only or not e").select(key, F.when(F.col("only"), "missing").otherwise("unexpected").alias("status"))
 
 
 def with_lookup(df: DataFrame, cache: DataFrame, key: str, guard: str | None = None) -> DataFrame:

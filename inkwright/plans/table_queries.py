@@ -69,7 +69,7 @@ _SPAN_ROWS = f"(SELECT doc_id, pos, CASE WHEN span[1:2] = '$$' OR span[1:2] = '\
 
 def _turns(spark, sf_dir):
     """Turns with a placeholder after each, for the regions of the turn and of one that is missing."""
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lit("text").alias("kind"), F.concat(F.left("text", F.lit(40)), F.lit(" [[EQ:eq_"), F.col("turn"), F.lit("]] and [[EQ:none]].")).alias("raw"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lit("text").alias("kind"), F.concat("text", F.lit(" [[EQ:eq_"), F.col("turn"), F.lit("]] and [[EQ:none]].")).alias("raw"))
 
 
 def _regions(spark, sf_dir):
@@ -81,7 +81,9 @@ def placeholder_render(spark, sf_dir):
 
 
 def unplaced_equations(spark, sf_dir):
-    return R.unplaced(_regions(spark, sf_dir), _turns(spark, sf_dir).filter("turn % 3 = 0"), "raw")
+    """Regions of all turns, and of as many that no turn names."""
+    regions = _regions(spark, sf_dir)
+    return R.unplaced(regions.union(regions.withColumn("region", F.concat("region", F.lit("_b")))), _turns(spark, sf_dir), "raw")
 
 
 def dedup_canonical(spark, sf_dir):
@@ -109,6 +111,11 @@ def region_markup(spark, sf_dir):
     return rows.select("id", html.alias("html"))
 
 
+_REGIONS = """WITH r AS (SELECT o_orderkey AS id, o_orderkey % 2 = 0 AS display, o_custkey % 5 = 0 AS shown, o_custkey % 3 <> 0 AS drawn, o_custkey % 2 = 0 AS crop, o_custkey % 7 <> 0 AS fallback, o_orderkey % 11 = 0 AS flagged, CASE WHEN o_orderkey % 4 = 0 THEN '<span class="eq-number">(1)</span>' ELSE '' END AS number FROM orders),
+i AS (SELECT *, CASE WHEN shown THEN NULL WHEN (flagged OR NOT drawn) AND crop THEN '<img class="eq-img-fallback" alt="equation eq_' || id || '" src="../images/eq_' || id || '.png"/>' WHEN NOT flagged AND drawn THEN '<svg/>' END AS inside FROM r)
+SELECT id, CASE WHEN shown THEN '<span class="eq-text"><b>v</b></span>' WHEN (flagged OR NOT drawn) AND NOT crop AND fallback THEN '<span class="eq-text">a&lt;b</span>' WHEN display THEN '<div class="eq-display">' || number || inside || '</div>' ELSE '<span class="eq-inline">' || inside || '</span>' END AS html FROM i"""
+
+
 def escape_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.escape(F.col("text")), 256).alias("escaped"), F.sha2(T.escape_alt(F.col("text")), 256).alias("alt"))
 
@@ -220,13 +227,13 @@ _LINK = f"SELECT page, number, note_id, marker_id FROM (SELECT page, number, min
 def note_placement(spark, sf_dir):
     conv = table(spark, sf_dir, "conversations").withColumn("file", F.floor(F.col("turn") / 4).cast("int"))
     files = conv.groupBy("conv_id", "file").agg(F.max("turn").alias("max_page"))
-    notes = conv.filter("turn % 3 = 0").select("conv_id", F.col("turn").alias("note_id"), F.col("turn").alias("page"))
-    markers = conv.filter("turn % 6 = 0").select("conv_id", F.col("turn").alias("note_id"), "file")
+    notes = conv.select("conv_id", F.col("turn").alias("note_id"), F.col("turn").alias("page"))
+    markers = conv.filter("role = 'user'").select("conv_id", F.col("turn").alias("note_id"), "file")
     return O.place_notes(notes, files, markers, "conv_id")
 
 
-_PLACE = """WITH c AS (SELECT conv_id, turn, floor(turn / 4)::INT AS file FROM conversations), f AS (SELECT conv_id, file, max(turn) AS max_page FROM c GROUP BY ALL)
-SELECT n.conv_id, n.turn AS note_id, coalesce((SELECT min(m.file) FROM c m WHERE m.conv_id = n.conv_id AND m.turn = n.turn AND m.turn % 6 = 0), (SELECT min(f.file) FROM f WHERE f.conv_id = n.conv_id AND f.max_page > n.turn), (SELECT max(f.file) FROM f WHERE f.conv_id = n.conv_id)) AS file, n.turn % 6 = 0 AS linked FROM c n WHERE n.turn % 3 = 0"""
+_PLACE = """WITH c AS (SELECT conv_id, turn, role, floor(turn / 4)::INT AS file FROM conversations), f AS (SELECT conv_id, file, max(turn) AS max_page FROM c GROUP BY ALL)
+SELECT n.conv_id, n.turn AS note_id, coalesce((SELECT min(m.file) FROM c m WHERE m.conv_id = n.conv_id AND m.turn = n.turn AND m.role = 'user'), (SELECT min(f.file) FROM f WHERE f.conv_id = n.conv_id AND f.max_page > n.turn), (SELECT max(f.file) FROM f WHERE f.conv_id = n.conv_id)) AS file, n.role = 'user' AS linked FROM c n"""
 
 
 def _snapshot(spark, sf_dir, changed):
@@ -320,12 +327,12 @@ def report_crops(spark, sf_dir):
 
 def cache_lookup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2(squeeze(F.col("text")), 256).alias("key"))
-    cache = docs.filter("doc_id % 3 = 0").groupBy("key").agg(F.min("doc_id").alias("cached"))
+    cache = table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", F.sha2(squeeze(F.col("text")), 256).alias("key")).groupBy("key").agg(F.min("doc_id").alias("cached"))
     return R.with_lookup(docs, cache, "key").select("doc_id", "cached", "hit")
 
 
 def scanned_vote(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), F.left("text", F.lit(60)).alias("text"))
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), "text")
     return S.scanned_vote(rows)
 
 
@@ -401,11 +408,12 @@ ORACLES = {
     "block_kind_counts": f"SELECT kind, tag, count(*) AS n, sum(length(text))::BIGINT AS chars FROM {_BLOCK_ROWS} GROUP BY kind, tag",
     "delimiter_spans": f"SELECT * FROM {_SPAN_ROWS}",
     "span_class_counts": f"SELECT formula_class, count(*) AS n, sum(length(latex))::BIGINT AS chars FROM {_SPAN_ROWS} GROUP BY formula_class",
-    "placeholder_render": f"SELECT conv_id, turn, '<p>' || {_ESC.format('text[:40]')} || ' ' || CASE WHEN turn % 2 = 0 THEN '</p><i>' || turn || '</i><p>' ELSE '<i>' || turn || '</i>' END || ' and .</p>' AS html FROM conversations",
-    "unplaced_equations": "SELECT DISTINCT 'eq_' || turn AS region, '<i>' || turn || '</i>' AS html, turn % 2 = 0 AS display FROM conversations WHERE turn % 3 <> 0",
+    "placeholder_render": f"SELECT conv_id, turn, '<p>' || {_ESC.format('text')} || ' ' || CASE WHEN turn % 2 = 0 THEN '</p><i>' || turn || '</i><p>' ELSE '<i>' || turn || '</i>' END || ' and .</p>' AS html FROM conversations",
+    "unplaced_equations": "SELECT DISTINCT 'eq_' || turn || '_b' AS region, '<i>' || turn || '</i>' AS html, turn % 2 = 0 AS display FROM conversations",
     "dedup_canonical": f"SELECT doc_id, canonical FROM {_CANON}",
     "dedup_stats": f"SELECT count(*) AS n, count(canonical) AS duplicates, count(DISTINCT canonical) AS groups FROM {_CANON}",
     "copy_canonical": f"SELECT a.doc_id, coalesce(b.source, a.source) AS source, coalesce(b.n_chars, a.n_chars) AS n_chars FROM {_CANON} a LEFT JOIN documents b ON b.doc_id = a.canonical",
+    "region_markup": _REGIONS,
     "escape_text": f"SELECT doc_id, sha256({_ESC.format('text')}) AS escaped, sha256({_ESC.format('''replace(text, '>', '＞')''')}) AS alt FROM documents",
     "page_links": f"SELECT page_id, 'see (<a href=\"' || {_ESC.format('url')} || '\">' || {_ESC.format('url')} || '</a>). Then' AS html FROM pages",
     "note_markup": f"SELECT s_suppkey, '<p class=\"footnote\"' || CASE WHEN s_suppkey % 3 <> 0 THEN ' id=\"fn_1_' || s_suppkey || '\"' ELSE '' END || '>' || s_name || CASE WHEN s_suppkey % 2 = 0 AND s_suppkey % 3 <> 0 THEN ' <a class=\"footnote-back\" href=\"#fnref_1_' || s_suppkey || '\">↩</a>' ELSE '' END || '</p>' AS footnote, CASE WHEN s_suppkey % 3 = 0 THEN '<span class=\"eq-text\">' || s_name || '</span>' ELSE '<a class=\"noteref\" id=\"fnref_1_' || s_suppkey || '\" href=\"#fn_1_' || s_suppkey || '\"><span class=\"eq-text\">' || s_name || '</span></a>' END AS noteref, '<span class=\"eq-number\">' || s_name || '</span>' AS number FROM supplier",
@@ -429,8 +437,8 @@ ORACLES = {
     "stage_metrics": "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, round(avg(value), 6) AS mean, coalesce(round(count(*) FILTER (value > 50) / nullif(count(*) FILTER (value > 50) + count(*) FILTER (value <= 50), 0), 4), 0) AS hit_rate FROM events GROUP BY event_type",
     "error_events": "SELECT event_id, event_type, CASE event_type WHEN 'signup' THEN 1 ELSE 2 END::INT AS kind_rank FROM events WHERE event_type IN ('signup', 'purchase')",
     "report_crops": "SELECT doc_id, quality, toxic FROM documents JOIN labels USING (doc_id) WHERE toxic = 1 OR quality <> 1 ORDER BY doc_id LIMIT 200",
-    "cache_lookup": f"WITH d AS (SELECT doc_id, {_NORMAL_TEXT} AS k FROM documents), c AS (SELECT k, min(doc_id) AS cached FROM d WHERE doc_id % 3 = 0 GROUP BY k) SELECT doc_id, cached, cached IS NOT NULL AS hit FROM d LEFT JOIN c USING (k)",
-    "scanned_vote": "SELECT conv_id AS doc_id, count(*) AS sampled, count(*) FILTER (length(regexp_replace(text[:60], '^\\s+|\\s+$', '', 'g')) < 50) AS sparse, count(*) FILTER (length(regexp_replace(text[:60], '^\\s+|\\s+$', '', 'g')) < 50) > count(*) // 2 AS scanned FROM conversations WHERE turn < 5 GROUP BY conv_id",
+    "cache_lookup": f"WITH d AS (SELECT doc_id, lang, {_NORMAL_TEXT} AS k FROM documents), c AS (SELECT k, min(doc_id) AS cached FROM d WHERE lang = 'en' GROUP BY k) SELECT doc_id, cached, cached IS NOT NULL AS hit FROM d LEFT JOIN c USING (k)",
+    "scanned_vote": "SELECT conv_id AS doc_id, count(*) AS sampled, count(*) FILTER (length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) < 50) AS sparse, count(*) FILTER (length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) < 50) > count(*) // 2 AS scanned FROM conversations WHERE turn < 5 GROUP BY conv_id",
     "column_layout": "WITH b AS (SELECT l_orderkey AS doc_id, (l_partkey % 500 + l_partkey % 500 + l_quantity) / 2 AS c FROM lineitem), k AS (SELECT doc_id, count(*) FILTER (c < 270) AS \"left\", count(*) FILTER (c > 300 * 1.1::DOUBLE) AS \"right\" FROM b GROUP BY doc_id) SELECT *, CASE WHEN coalesce(\"right\" / nullif(\"left\" + \"right\", 0), 0) > 0.3 THEN 'double' ELSE 'single' END AS layout FROM k",
     "source_kinds": "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN CASE WHEN p_size % 2 = 0 THEN 'epub' ELSE 'E001' END WHEN 1 THEN 'html' WHEN 2 THEN 'pdf' ELSE 'E001' END AS kind, p_partkey % 3 <> 1 AS math_font, CASE WHEN p_partkey % 4 = 0 OR p_partkey % 3 = 1 THEN 'visual_pdf' ELSE 'latex_pdf' END AS pdf_kind, CASE WHEN p_partkey % 10 = 0 THEN 'E002' WHEN p_partkey % 3 = 0 THEN 'E003' END AS pdf_error FROM part",
     "crop_boxes": "SELECT p_partkey, CASE WHEN w THEN x0 END AS x0, CASE WHEN w THEN y0 END AS y0, CASE WHEN w THEN x1 END AS x1, CASE WHEN w THEN y1 END AS y1 FROM (SELECT *, x1 - x0 >= 2 AND y1 - y0 >= 2 AS w FROM (SELECT p_partkey, greatest(0, p_size * 2 - 4)::BIGINT AS x0, greatest(0, floor(p_size * 2 * 0.25) - 4)::BIGINT AS y0, least(200, p_size * 6 + 4)::BIGINT AS x1, least(100, floor(p_size * 2 * 0.25) + 4)::BIGINT AS y1 FROM part))",
