@@ -9,6 +9,7 @@ from ..functions import latex as L
 from ..functions import svg as S
 from ..functions import text as T
 from ..operators import gate as G
+from ..operators import markup as K
 from ..operators import mathml as M
 
 #: Formulas; a number takes the place of #.
@@ -26,6 +27,22 @@ MATHML = [
 ]
 PIPES = ["| a | b |\n|---|:--|\n| # | 2 |\n| 3 |", "| a | b |\n| # | 2 |", "no table #"]
 LINKS = ["see https://a.org/x_(y). and more", "[DOI: doi: 10.1119/1.18116#].", "www.site.org/?a=1&b=2, then", "at 10.1000/xyz#", "mail a@www.b.org", "<http://c.d/e> end", "nothing", "(http://e.f/g[#])"]
+_BOOK = '<html xmlns:epub="http://www.idpf.org/2007/ops"><body>{}</body></html>'
+#: Pages, and the rows that a walk makes of each: row, id, kind, class, text, note, label. @ is the order's key.
+PAGES: list[tuple[str, list[tuple]]] = [
+    (_BOOK.format("<h1>T #</h1><p>one <b>two</b></p><p> </p>"), [("text", "tb_@_1", "heading", None, "T #", None, None), ("text", "tb_@_2", "text", None, "one two", None, None)]),
+    (_BOOK.format("<ul><li>a</li><li>b <i>#</i></li></ul><dl><dt>k</dt><dd>v</dd></dl>"), [("text", f"tb_@_{i}", "list_item", None, t, None, None) for i, t in enumerate(("a", "b #", "k", "v"), 1)]),
+    (_BOOK.format("<script>x</script><pre>\n a = #\n</pre><p>end</p>"), [("text", "tb_@_1", "code", None, " a = #", None, None), ("text", "tb_@_2", "text", None, "end", None, None)]),
+    (_BOOK.format("<table><tr><td>$x_#$</td></tr></table>"), [("equation", "eq_@_1", "delimiter", "inline", "x_#", None, None), ("figure", "fig_@_1", "figure", None, "table", None, None)]),
+    (_BOOK.format('<img src="a.png" alt="plot #"/><img src="b.png" alt="x_#"/>'), [("figure", "fig_@_1", "figure", None, "plot #", None, None), ("equation", "eq_@_1", "image", "inline", "x_#", None, None), ("text", "tb_@_1", "text", None, "[[EQ:eq_@_1]]", None, None)]),
+    (_BOOK.format('<math display="block"><mi>x</mi></math>'), [("equation", "eq_@_1", "mathml", "display", 'MATHML:<math display="block"><mi>x</mi></math>', None, None), ("text", "tb_@_1", "text", None, "[[EQ:eq_@_1]]", None, None)]),
+    (_BOOK.format('<aside epub:type="footnote" id="fn#"><p>n #</p><p>more</p></aside>'), [("text", "tb_@_1", "footnote", None, "n #", "fn#", None), ("text", "tb_@_2", "footnote", None, "more", None, None)]),
+    (_BOOK.format("<div><h2>Chart #</h2><canvas/></div>"), [("figure", "fig_@_1", "figure", None, "unsupported interactive content", None, 'Interactive content not shown — "Chart #"')]),
+    (_BOOK.format("<div><canvas/></div><div>loose #<p> </p></div>"), [("figure", "fig_@_1", "figure", None, "unsupported interactive content", None, K.NO_LABEL), ("text", "tb_@_1", "text", None, "loose #", None, None)]),
+    (_BOOK.format('<p>a<br/>b <img src="i.png" alt="pic"/>c <a epub:type="noteref" href="#_n1">1</a></p>'), [("equation", "eq_@_1", "noteref", "inline", "1", "#_n1", None), ("text", "tb_@_1", "text", None, "ab c [[EQ:eq_@_1]]", None, None)]),
+    (_BOOK.format(r"<p>$a$ <math><mi>y</mi></math> \(b\)</p>"), [("equation", "eq_@_1", "mathml", "inline", "MATHML:<math><mi>y</mi></math>", None, None), ("equation", "eq_@_2", "delimiter", "inline", "a", None, None), ("equation", "eq_@_3", "delimiter", "inline", "b", None, None), ("text", "tb_@_1", "text", None, "[[EQ:eq_@_2]] [[EQ:eq_@_1]] [[EQ:eq_@_3]]", None, None)]),
+    ("<p>open<p>next #", [("text", "tb_@_1", "text", None, "open", None, None), ("text", "tb_@_2", "text", None, "next #", None, None)]),
+]
 #: Here ~ is the number's place, as # is taken.
 SVGS = [
     '<?xml version="1.0"?><svg width="24pt" height="6.5pt" xmlns:xlink="http://www.w3.org/1999/xlink"><path id="g1" fill="#000"/><use xlink:href="#g1"/><use xlink:href="#g~"/></svg>',
@@ -143,6 +160,11 @@ def table_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("id", M.valid_table_html(F.col("t.html")).alias("html"), F.size("t.formulas").alias("formulas"))
 
 
+def walked_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = K.walk_pages(made(spark, sf_dir, [p for p, _ in PAGES]).select(F.col("id").alias("page"), "x"), "page", "x")
+    return rows.select(F.col("page").alias("order_id"), "row", F.col("id").alias("region"), "kind", "formula_class", "text", "note", "label")
+
+
 def draw_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = made(spark, sf_dir, SVGS).select("id", F.nullif(F.col("x"), F.lit("<p>none</p>")).alias("svg"), F.lit("pass").alias("gate"), F.lit(None).cast("string").alias("error_code"))
     out = G.draw_outcome(rows, "svg").withColumn("recognised_svg", F.when(F.col("id") % 2 == 0, "<svg/>"))
@@ -175,6 +197,7 @@ QUERIES = {
     "svg_postprocess": each(SVGS, svg=lambda x: S.postprocess(x, F.format_string("eq_%d", "id"))),
     "svg_chain": each(SVGS, svg=lambda x: S.namespace_ids(S.clean(S.current_color(S.strip_font_size(x))), F.format_string("eq_%d", "id"))),
     "draw_checks": draw_checks,
+    "walked_forms": walked_forms,
 }
 
 #: The two drawings after rewriting, worked out by hand: @ is the id, ~ the number, ^ its reference, % its width in em.
@@ -194,6 +217,33 @@ def _drawn(first: str, second: str) -> str:
     return f"CASE id % 3 WHEN 0 THEN {put(first)} WHEN 1 THEN {put(second)} ELSE x END"
 
 
+def _rows_by_form(forms: list[str], rows: list[tuple], names: str) -> str:
+    """SQL of the rows (form, values...) that each order's form gives; # is the number, @ the key."""
+    value = lambda v: "NULL" if v is None else str(v) if isinstance(v, int) else f"replace(replace({quoted(v)}, '#', n::VARCHAR), '@', id::VARCHAR)"
+    columns = names.split(", ")
+    one = lambda r: "{" + ", ".join(f"{c}: {value(v)}" for c, v in zip(columns, r[1:])) + "}"
+    lists = [", ".join(one(r) for r in rows if r[0] == k) for k in range(len(forms))]
+    whens = " ".join(f"WHEN {k} THEN [{x}]" for k, x in enumerate(lists) if x)
+    return f"SELECT id, unnest(CASE id % {len(forms)} {whens} END) AS r FROM {made_sql(forms)}"
+
+
+#: The parts of each cell: form, place, kind, chunk.
+_SEGMENTS = [
+    (0, 0, "math", "A_\\alpha"), (1, 0, "text", "Affinity of cycle "), (1, 1, "math", "\\alpha"), (1, 2, "text", "."), (2, 0, "text", "plain words only"),
+    (3, 0, "text", "the ratio "), (3, 1, "math", "\\eta_{#}"), (3, 2, "text", " = 1 - x for each engine"), (4, 0, "math", "\\text{mean value} \\mu"), (5, 0, "text", "two plain words "), (5, 1, "math", "x^2"),
+]
+#: Tables with their formulas as placeholders: form, html, number of formulas.
+_TABLES = [(0, "[[EQ:t@_1]]", 1), (1, "Affinity of cycle [[EQ:t@_1]].", 1), (2, "plain words only", 0), (3, "the ratio [[EQ:t@_1]] = 1 - x for each engine", 1), (4, "[[EQ:t@_1]]", 1), (5, "two plain words [[EQ:t@_1]]", 1)]
+#: What each element becomes, and its tokens.
+_MATHS = {0: (r"\frac{a}{#}", "a #"), 1: ("x_{#}", "x"), 2: (r"\sum_{i}^{#} \left[ a , b \right)", "∑ i # a b"), 3: ("<math><mi>broken", None)}
+_VALID = "(SELECT *, CASE WHEN normalized = '' THEN 'E402.empty' WHEN NOT fine THEN 'E501' WHEN gate <> 'pass' THEN 'E503.plausibility' END AS error_code FROM (SELECT *, CASE WHEN normalized = '' OR NOT fine THEN 'fallback' WHEN s >= 0.65 THEN 'pass' WHEN s >= 0.4 THEN 'repair' ELSE 'fallback' END AS gate FROM (SELECT *, {score} AS s, {fine} AS fine FROM (SELECT id, n, {normal} AS normalized FROM {made}))))"
+
+
+def _valid(trusted: str) -> str:
+    """Normal form, score and gate of each formula; no repair makes a gate of these better."""
+    return _VALID.format(score=_score_sql("normalized", trusted), fine=_compiles_sql("normalized"), normal=NORMAL(_nested("x", L.UNICODE)), made=made_sql(FORMULAS))
+
+
 _links_by_form = {
     0: 'see <a href="https://a.org/x_(y)">https://a.org/x_(y)</a>. and more', 1: '[DOI: <a href="https://doi.org/10.1119/1.18116#">doi: 10.1119/1.18116#</a>].', 2: '<a href="http://www.site.org/?a=1&amp;b=2">www.site.org/?a=1&amp;b=2</a>, then',
     3: 'at <a href="https://doi.org/10.1000/xyz#">10.1000/xyz#</a>', 4: "mail a@www.b.org", 5: '&lt;<a href="http://c.d/e">http://c.d/e</a>&gt; end', 6: "nothing", 7: "(http://e.f/g[#])",
@@ -218,4 +268,11 @@ ORACLES = {
     "svg_orphans": f"SELECT id, CASE WHEN id % 3 = 0 AND n <> 1 THEN 'g' || n ELSE '' END AS orphans, CASE WHEN id % 3 < 2 THEN 1 ELSE 0 END::INT AS drawings FROM {made_sql(SVGS)}",
     "svg_chain": f"SELECT id, {_drawn(*_CHAIN)} AS svg FROM {made_sql(SVGS)}",
     "svg_postprocess": f"SELECT id, {_drawn(*_POST)} AS svg FROM {made_sql(SVGS)}",
+    "repair_loop": f"SELECT id, normalized, round(s, 6) AS score, gate, 0::INT AS repair_attempts, error_code FROM {_valid('n % 2 = 0')}",
+    "routing": f"SELECT id, CASE WHEN gate IN ('pass', 'repair') THEN 'draw' ELSE 'fallback' END AS route FROM {_valid('true')}",
+    "draw_checks": f"SELECT id, CASE WHEN id % 3 = 2 THEN 'E601' ELSE 'E602' END AS draw_error, CASE WHEN id % 2 = 0 THEN 'fallback' ELSE 'flagged' END AS gate, id % 2 = 0 AS fallback_used, id % 2 = 1 AS flagged, CASE WHEN id % 2 = 1 THEN 'E603' END AS error_code FROM {made_sql(SVGS)} WHERE id % 3 = 2 OR id % 3 = 0 AND n <> 1",
+    "cell_segments": f"SELECT id, r.pos::INT AS pos, r.kind AS kind, r.chunk AS chunk FROM ({_rows_by_form(CELLS, _SEGMENTS, 'pos, kind, chunk')})",
+    "table_formulas": f"SELECT id, '<table><tr><td>' || r.html || '</td></tr></table>' AS html, r.formulas::INT AS formulas FROM ({_rows_by_form(CELLS, _TABLES, 'html, formulas')})",
+    "mathml_to_latex": f"SELECT id, r.latex AS latex, r.tokens AS tokens FROM ({_rows_by_form(MATHML, [(k, *v) for k, v in _MATHS.items()], 'latex, tokens')})",
+    "walked_forms": f"SELECT id AS order_id, r.row AS row, r.region AS region, r.kind AS kind, r.formula_class AS formula_class, r.text AS text, r.note AS note, r.label AS label FROM ({_rows_by_form([p for p, _ in PAGES], [(k, *r) for k, (_, rows) in enumerate(PAGES) for r in rows], 'row, region, kind, formula_class, text, note, label')})",
 }
