@@ -69,6 +69,24 @@ def validate(df: DataFrame, latex: str, trusted: Column, compiles: Callable[[Col
     return df.select("*", F.inline(F.array(let(best, outcome))).alias(*names))
 
 
+def eligible(render_as_text: Column, kind: Column, canonical: Column) -> Column:
+    """Rows that are validated and routed: formulas that are neither text, nor a label, nor a duplicate."""
+    return ~F.coalesce(render_as_text, F.lit(False)) & ~kind.eqNullSafe("label") & canonical.isNull()
+
+
+def retry_outcome(df: DataFrame, compiled: str) -> DataFrame:
+    """After every fallback was compiled once more: success passes and drops the compiler's codes."""
+    ok = (F.col("gate") == "fallback") & F.col(compiled)
+    return df.withColumn("error_code", F.when(ok & F.col("error_code").isin("E501", "E502"), None).otherwise(F.col("error_code"))).withColumn("gate", F.when(ok, "pass").otherwise(F.col("gate")))
+
+
+def draw_retry(df: DataFrame, again: Column, svg: str = "svg") -> DataFrame:
+    """After drawings that failed were tried once more: success restores the pass, else the fallback."""
+    failed = F.col("draw_error").isNotNull()
+    out = df.withColumn("__again", F.when(failed, again)).withColumn("gate", F.when(F.col("__again").isNotNull(), "pass").when(failed, "fallback").otherwise(F.col("gate")))
+    return out.withColumn(svg, F.coalesce("__again", svg)).withColumn("draw_error", F.when(F.col("__again").isNull(), F.col("draw_error"))).drop("__again")
+
+
 def route(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows to draw (pass or repair) and rows for the fallback."""
     draw = F.col("gate").isin("pass", "repair")

@@ -149,3 +149,17 @@ def number_within(df: DataFrame, by: list[str], order: list[str], prefix: str, n
     """Ids such as eq_3_7: the row's number within its page."""
     n = F.row_number().over(W.partitionBy(*by).orderBy(*order))
     return df.withColumn(name, F.concat_ws("_", F.lit(prefix), F.col(by[-1]).cast("string"), n.cast("string")))
+
+
+def images_of_volumes(chapters: DataFrame, images: DataFrame, volume: list[str], xhtml: str = "xhtml", image: str = "image") -> DataFrame:
+    """volume, image: the images whose file a chapter of the volume shows."""
+    shown = chapters.select(*volume, F.explode(F.regexp_extract_all(xhtml, F.lit(r"images/([^\"/]+)\.png"), F.lit(1))).alias(image)).distinct()
+    return shown.join(images.select(image), image, "left_semi").select(*volume, image)
+
+
+def drawing_totals(chapters: DataFrame, book: str, volume: str, chapter: str, xhtml: str = "xhtml") -> DataFrame:
+    """drawings of each chapter, of each volume (chapter null) and of each book (both null)."""
+    from ..functions.svg import count
+
+    rows = chapters.select(book, volume, chapter, count(F.col(xhtml)).cast("long").alias("n"))
+    return rows.groupingSets([[book], [book, volume], [book, volume, chapter]], book, volume, chapter).agg(F.sum("n").alias("drawings"))

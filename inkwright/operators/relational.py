@@ -29,6 +29,15 @@ def mark_duplicates(df: DataFrame, content: Column, order: list[str], row_id: st
     return x.join(y, cond, "left").select(*[F.col(f"x.{c}") for c in df.columns], F.when(head != F.col(f"x.{row_id}"), head).alias("canonical"))
 
 
+def is_mathml(latex: Column) -> Column:
+    return latex.startswith("MATHML:")
+
+
+def mark_mathml_duplicates(df: DataFrame, latex: str, order: list[str], row_id: str, scope: list[str] | None = None) -> DataFrame:
+    """mark_duplicates among the rows that came as MathML; other rows are never duplicates."""
+    return mark_duplicates(df, F.when(is_mathml(F.col(latex)), F.col(latex)), order, row_id, scope)
+
+
 def copy_from_canonical(df: DataFrame, row_id: str, columns: list[str]) -> DataFrame:
     """Duplicates take the outcome of their canonical row, failures included."""
     source = df.filter("canonical is null").select(F.col(row_id).alias("canonical"), *[F.col(c).alias(f"__{c}") for c in columns])

@@ -10,7 +10,7 @@ import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 from html import escape
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CONTAINER = '<?xml version="1.0"?><container version="1.0" xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="OEBPS/content.opf" media-type="application/oebps-package+xml"/></rootfiles></container>'
@@ -81,6 +81,15 @@ def build(title: str, author: str, uid: str, chapters: list[tuple[str | None, st
     return out.getvalue()
 
 
+def resolved(base: Column, link: Column) -> Column:
+    """resolve() without Python: the folder of base, then the link, parent steps worked off."""
+    parts = F.split(F.concat(F.regexp_extract(base, "^(.*/)?", 0), F.substring_index(link, "#", 1)), "/")
+    steps = F.filter(parts, lambda p: (p != "") & (p != "."))
+    up = lambda a, p: F.when((p == "..") & (F.size(a) > 0), F.slice(a, F.lit(1), F.size(a) - 1)).otherwise(F.concat(a, F.array(p)))
+    path = F.array_join(F.aggregate(steps, F.array().cast("array<string>"), up), "/")
+    return F.when(~link.rlike("(?i)^(https?:|data:|//)"), path)
+
+
 def volume_name(stem: str, i: int, n: int) -> str:
     return stem if n == 1 else f"{i}_of_{n}_{stem}"
 

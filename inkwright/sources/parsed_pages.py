@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import latex as L
+from ..functions import text as T
+
 _SPAN = "struct<type:string,content:string,bbox:array<double>,html:string>"
 _LINES = f"array<struct<spans:array<{_SPAN}>>>"
 _INNER = f"struct<type:string,bbox:array<double>,index:double,lines:{_LINES}>"
@@ -27,8 +30,9 @@ def rebase(raw: DataFrame) -> DataFrame:
 
 
 def preferred(files: DataFrame, stem: str, path: str = "path") -> DataFrame:
-    """Add preference: 0 for the parse named after the document, 1 for any other."""
-    return files.withColumn("preference", F.when(F.col(path).endswith(f"{stem}_middle.json"), 0).otherwise(1)).filter(F.col(path).endswith("_middle.json"))
+    """The one parse to read: that named after the document, else the first of any other name."""
+    found = files.filter(F.col(path).endswith("_middle.json")).withColumn("preference", F.when(F.col(path).endswith(f"/{stem}_middle.json"), 0).otherwise(1))
+    return found.orderBy("preference", path).limit(1)
 
 
 def pending(expected: DataFrame, present: DataFrame, whole_present: bool, key: str = "dir") -> DataFrame:
@@ -40,13 +44,16 @@ def spans(lines: Column) -> Column:
     return F.flatten(F.transform(F.coalesce(lines, F.array()), lambda x: F.coalesce(x["spans"], F.array())))
 
 
-def _shown(s: Column) -> Column:
-    """What a span adds to its block's text."""
-    return F.when(s["type"].isin("inline_equation", "interline_equation"), F.concat(F.lit("[[EQ:"), F.coalesce(s["content"], F.lit("")), F.lit("]]"))).otherwise(F.trim(F.coalesce(s["content"], F.lit(""))))
+def _is_formula(s: Column) -> Column:
+    return s["type"].isin("inline_equation", "interline_equation")
 
 
-def _joined(lines: Column) -> Column:
-    return F.array_join(F.filter(F.transform(spans(lines), _shown), lambda t: t != ""), " ")
+def _joined(lines: Column, page: Column, before: Column) -> Column:
+    """A block's text, its formulas as placeholders of their ids; ``before`` of the page's stand before it."""
+    all_ = spans(lines)
+    seq = lambda i: before + F.size(F.filter(F.slice(all_, F.lit(1), i + 1), _is_formula))
+    shown = F.transform(all_, lambda s, i: F.when(_is_formula(s), T.placeholder(F.concat_ws("_", F.lit("eq"), page, seq(i)))).otherwise(F.trim(F.coalesce(s["content"], F.lit("")))))
+    return F.array_join(F.filter(shown, lambda t: t != ""), " ")
 
 
 def flat_blocks(pages: DataFrame) -> DataFrame:
@@ -58,29 +65,43 @@ def flat_blocks(pages: DataFrame) -> DataFrame:
     return own.unionByName(sub.select("file", "page", F.col("s.type").alias("type"), "parent", (F.col("o") + F.col("i") / 1024).alias("reading_order"), F.col("s.lines").alias("lines")))
 
 
+def _numbered(blocks: DataFrame) -> DataFrame:
+    """Add before: the formulas of the page in blocks before this one."""
+    w = W.partitionBy("file", "page").orderBy("reading_order").rowsBetween(W.unboundedPreceding, -1)
+    own = F.size(F.filter(spans(F.col("lines")), _is_formula))
+    return blocks.withColumn("before", F.coalesce(F.sum(own).over(w), F.lit(0)))
+
+
 def text_rows(blocks: DataFrame) -> DataFrame:
     """file, page, kind, reading_order, text: titles are headings, list parts list items, the rest
-    text; formulas stand as placeholders of their LaTeX until ids are dealt. Blank rows go."""
-    body = blocks.filter((F.col("type") != "interline_equation") & ~F.coalesce(F.col("type").endswith("_body"), F.lit(False)))
+    text; formulas stand as placeholders of their region ids (see equation_rows). Blank rows go, and
+    pipe tables, which are figures."""
+    body = _numbered(blocks).filter((F.col("type") != "interline_equation") & ~F.coalesce(F.col("type").endswith("_body"), F.lit(False)))
     kind = F.when(F.col("type") == "title", "heading").when(F.col("parent").isNotNull() & ~F.col("parent").isin("image", "table"), "list_item").otherwise("text")
-    return body.select("file", "page", kind.alias("kind"), "reading_order", _joined(F.col("lines")).alias("text")).filter("text <> ''")
+    rows = body.select("file", "page", kind.alias("kind"), "reading_order", _joined(F.col("lines"), F.col("page"), F.col("before")).alias("text"))
+    return rows.filter((F.col("text") != "") & ~T.is_pipe_table(F.col("text")))
 
 
 def figure_rows(blocks: DataFrame) -> DataFrame:
-    """file, page, reading_order, alt_text, table_html of images and tables."""
+    """file, page, reading_order, alt_text, table_html of images, tables and pipe tables."""
+    lines = F.col("lines")
     body = blocks.filter(F.col("type").isin("image_body", "table_body"))
-    alt = F.regexp_replace(F.trim(F.array_join(F.transform(spans(F.col("lines")), lambda s: F.coalesce(s["content"], F.lit(""))), " ")), r"\s+", " ")
-    html = F.get(F.filter(F.transform(spans(F.col("lines")), lambda s: s["html"]), lambda h: h.isNotNull()), F.lit(0))
-    return body.select("file", "page", "reading_order", alt.alias("alt_text"), html.alias("table_html"))
+    alt = F.regexp_replace(F.trim(F.array_join(F.transform(spans(lines), lambda s: F.coalesce(s["content"], F.lit(""))), " ")), r"\s+", " ")
+    html = F.get(F.filter(F.transform(spans(lines), lambda s: s["html"]), lambda h: h.isNotNull()), F.lit(0))
+    drawn = body.select("file", "page", "reading_order", alt.alias("alt_text"), html.alias("table_html"))
+    piped = T.pipe_table_html(_joined(lines, F.col("page"), F.lit(0)))
+    tables = blocks.filter((F.col("type") == "text") & (F.size(F.filter(spans(lines), _is_formula)) == 0)).select("file", "page", "reading_order", F.lit("table").alias("alt_text"), piped.alias("table_html"))
+    return drawn.unionByName(tables.filter("table_html is not null"))
 
 
 def equation_rows(blocks: DataFrame) -> DataFrame:
-    """file, page, seq, reading_order, formula_class, raw_latex, region_id."""
-    one = blocks.select("file", "page", "reading_order", F.posexplode(spans(F.col("lines"))).alias("k", "s")).filter(F.col("s.type").isin("inline_equation", "interline_equation"))
-    w = W.partitionBy("file", "page").orderBy("reading_order", "k")
-    seq = F.row_number().over(w)
-    rows = one.select("file", "page", seq.alias("seq"), "reading_order", F.when(F.col("s.type") == "inline_equation", "inline").otherwise("display").alias("formula_class"), F.col("s.content").alias("raw_latex"))
-    return rows.withColumn("region_id", F.concat_ws("_", F.lit("eq"), "page", "seq"))
+    """file, page, seq, reading_order, region_id, formula_class, raw_latex (without tags), equation_number,
+    render_as_text, inline_text_repr."""
+    one = _numbered(blocks).select("file", "page", "reading_order", "before", F.posexplode(F.filter(spans(F.col("lines")), _is_formula)).alias("k", "s"))
+    seq, raw = (F.col("before") + F.col("k") + 1).cast("int"), F.col("s.content")
+    rows = one.select("file", "page", seq.alias("seq"), "reading_order", F.concat_ws("_", F.lit("eq"), "page", seq).alias("region_id"), F.when(F.col("s.type") == "inline_equation", "inline").otherwise("display").alias("formula_class"), L.without_tags(raw).alias("raw_latex"), L.equation_number(raw).alias("equation_number"))
+    simple = F.when(F.col("formula_class") == "inline", L.simple_text(F.col("raw_latex")))
+    return rows.withColumn("inline_text_repr", simple).withColumn("render_as_text", F.col("inline_text_repr").isNotNull())
 
 
 def footnote_rows(pages: DataFrame) -> DataFrame:
@@ -92,14 +113,35 @@ def footnote_rows(pages: DataFrame) -> DataFrame:
     return notes.select("file", "page", F.concat_ws("_", F.lit("fn"), "page", k).alias("note_id"), number.alias("number"), (F.lit(NOTE_ORDER) + k - 1).cast("double").alias("reading_order"), F.array_join(contents, " ").alias("text"))
 
 
-SNAPSHOT = "version int, counts struct<equations:bigint,display:bigint,inline:bigint,render_as_text:bigint,deduped:bigint,pages:bigint>, equations array<struct<page:int,`order`:double,region_id:string,class:string,raw_latex:string,render_as_text:boolean,inline_text_repr:string,equation_number:string,deduped:boolean>>"
+VERSION = 1
+_EQUATION = "page int, `order` double, region_id string, class string, raw_latex string, render_as_text boolean, inline_text_repr string, equation_number string, deduped boolean"
+SNAPSHOT = f"version int, counts struct<equations:bigint,display:bigint,inline:bigint,render_as_text:bigint,deduped:bigint,pages:bigint>, equations array<struct<{', '.join(f.replace(' ', ':', 1) for f in _EQUATION.split(', '))}>>"
+
+
+def snapshot_json(equations: DataFrame, book: str) -> DataFrame:
+    """book, value: one JSON object a book, of a version, counts, and the equations in order (order,
+    then region id as text). A book's equations meet in one row, as they do in its file."""
+    names = [f.split(" ")[0].strip("`") for f in _EQUATION.split(", ")]
+    rows = equations.select(book, *[(F.col(f"`{n}`") if n in equations.columns else F.lit(None)).cast(t).alias(n) for n, t in zip(names, (f.split(" ")[1] for f in _EQUATION.split(", ")))])
+    key = F.struct(F.coalesce("order", F.lit(0.0)).alias("o"), F.col("region_id").alias("r"))
+    n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    counts = F.struct(F.count("*").alias("equations"), n(F.col("class") == "display").alias("display"), n(F.col("class") == "inline").alias("inline"), n(F.col("render_as_text")).alias("render_as_text"), n(F.col("deduped")).alias("deduped"), F.countDistinct("page").alias("pages"))
+    got = rows.groupBy(book).agg(counts.alias("counts"), F.sort_array(F.collect_list(F.struct(key.alias("k"), F.struct(*[f"`{x}`" for x in names]).alias("e")))).alias("all"))
+    return got.select(book, F.to_json(F.struct(F.lit(VERSION).alias("version"), "counts", F.col("all.e").alias("equations"))).alias("value"))
+
+
+def snapshot_rows(files: DataFrame, value: str = "value", *keep: str) -> DataFrame:
+    """The equations of snapshots, numbered from 0 in their order; other versions give none."""
+    one = files.select(*keep, F.from_json(value, SNAPSHOT).alias("s")).filter(F.col("s.version") == VERSION)
+    return one.select(*keep, F.posexplode("s.equations").alias("seq", "e")).select(*keep, "seq", "e.*")
 
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """Equation rows of a snapshot file."""
-    return spark.read.schema(SNAPSHOT).json(path, multiLine=True).select(F.inline("equations"))
+    """Equation rows of the snapshot files under path, with file and seq."""
+    files = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
+    return snapshot_rows(files, "value", "file")
 
 
-def write_snapshot(equations: DataFrame, path: str) -> None:
-    """Snapshot rows in order (order, then region id as text), one JSON object a line."""
-    equations.orderBy(F.coalesce("order", F.lit(0.0)), "region_id").write.mode("overwrite").json(path)
+def write_snapshot(equations: DataFrame, path: str, book: str) -> None:
+    """A folder a book, each with one snapshot file."""
+    snapshot_json(equations, book).repartition(book).write.mode("overwrite").partitionBy(book).text(path)

@@ -23,6 +23,22 @@ def append_log(events: DataFrame, path: str) -> None:
     events.write.mode("append").json(path)
 
 
+def with_run_start(events: DataFrame, run: str = "run_id", ts: str = "ts") -> DataFrame:
+    """The events, and before those of each run a record run_start."""
+    starts = events.groupBy(run).agg(F.min(ts).alias(ts)).withColumn("event_type", F.lit("run_start"))
+    return starts.unionByName(events, allowMissingColumns=True)
+
+
+def result_json(document: str, source: str, pages: str) -> Column:
+    """The record of a document's result."""
+    return F.to_json(F.struct(F.col(document).cast("string").alias("document"), F.col(source).alias("source"), F.col(pages).alias("pages"), F.lit(True).alias("success")))
+
+
+def cache_json(key: Column, latex: Column, score: Column, svg_length: Column) -> Column:
+    """The record of a cache entry; drawings themselves stay in the cache."""
+    return F.to_json(F.struct(key.alias("key"), latex.alias("latex"), score.cast("double").alias("score"), svg_length.alias("svg_length")))
+
+
 def event_windows(events: DataFrame, ts: str, kind: str, value: str, width: str = "1 hour", late: str | None = "10 minutes") -> DataFrame:
     """window_start, kind, n, total per tumbling window; the same plan for batches and streams."""
     rows = events.withColumn("__ts", F.col(ts).cast("timestamp"))

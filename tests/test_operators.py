@@ -112,7 +112,7 @@ def test_parsed_pages(spark, tmp_path):
     (folder / "a_middle.json").write_text(json.dumps(data))
     pages = parsed_pages.read(spark, str(folder))
     blocks = parsed_pages.flat_blocks(pages)
-    assert [(r.page, r.kind, r.text) for r in parsed_pages.text_rows(blocks).orderBy("reading_order").collect()] == [(5, "heading", "Head"), (5, "text", "see [[EQ:x]]"), (5, "list_item", "one"), (5, "list_item", "two")]
+    assert [(r.page, r.kind, r.text) for r in parsed_pages.text_rows(blocks).orderBy("reading_order").collect()] == [(5, "heading", "Head"), (5, "text", "see [[EQ:eq_5_1]]"), (5, "list_item", "one"), (5, "list_item", "two")]
     assert [(r.formula_class, r.raw_latex, r.region_id) for r in parsed_pages.equation_rows(blocks).orderBy("seq").collect()] == [("inline", "x", "eq_5_1"), ("display", "y=1", "eq_5_2")]
     assert [(r.note_id, r.number) for r in parsed_pages.footnote_rows(pages).collect()] == [("fn_5_1", "3")]
 
