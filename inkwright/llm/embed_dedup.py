@@ -41,7 +41,7 @@ def _spans(hits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows, cols
 
 
-def link(df: DataFrame, threshold: float = 0.93, key: str = "vec_id", vec: str = "embedding", label: str = "label", shard: int = SHARD, beam: int = 64) -> DataFrame:
+def link(df: DataFrame, threshold: float = 0.93, key: str = "vec_id", vec: str = "embedding", label: str = "label", shard: int = SHARD, beam: int = 32) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of df.
 
     Rows link when their labels are equal and not null and the cosine in double precision is at
@@ -62,7 +62,7 @@ def link(df: DataFrame, threshold: float = 0.93, key: str = "vec_id", vec: str =
     return _link(df, threshold, key, vec, label, shard, beam)[0]
 
 
-def audited(df: DataFrame, threshold: float = 0.93, key: str = "vec_id", vec: str = "embedding", label: str = "label", shard: int = SHARD, beam: int = 64) -> tuple[int, int]:
+def audited(df: DataFrame, threshold: float = 0.93, key: str = "vec_id", vec: str = "embedding", label: str = "label", shard: int = SHARD, beam: int = 32) -> tuple[int, int]:
     """Links that the graph walks of link() found, and true links, of the queries that audits looked at."""
     found = _link(df, threshold, key, vec, label, shard, beam)[1]
     return tuple(x or 0 for x in found.agg(F.sum("found"), F.sum("true")).first())

@@ -175,7 +175,7 @@ class Hits:
     true: int
 
 
-def within(graph: Hnsw, q: np.ndarray, threshold: float, exact, beam: int = 64, audit: int = 48, enough: int = 256, recall: float = 0.999) -> Hits:
+def within(graph: Hnsw, q: np.ndarray, threshold: float, exact, beam: int = 32, audit: int = 48, enough: int = 256, recall: float = 0.999) -> Hits:
     """Which queries and nodes have a cosine of ``threshold`` or more.
 
     All queries walk the graph; those whose whole beam lies within the threshold walk it again with
