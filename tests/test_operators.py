@@ -151,3 +151,14 @@ def test_window_stream(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("w").orderBy("window_start", "kind").collect() == logs.event_windows(df, "ts", "kind", "v").orderBy("window_start", "kind").collect()
+
+
+def test_snapshots_are_written_read_and_compared(spark, tmp_path):
+    rows = [("a", 1, 0.0, "eq_1_10", "inline", "x", False), ("a", 1, 0.0, "eq_1_2", "display", 'y "q"', False), ("b", 1, None, "eq_1_1", "inline", "z", True)]
+    df = spark.createDataFrame(rows, "book string, page int, `order` double, region_id string, class string, raw_latex string, render_as_text boolean")
+    parsed_pages.write_snapshot(df, str(tmp_path / "s"), "book")
+    got = parsed_pages.read_snapshot(spark, str(tmp_path / "s" / "book=a"))
+    assert [(x.seq, x.region_id, x.raw_latex) for x in got.orderBy("seq").collect()] == [(0, "eq_1_10", "x"), (1, "eq_1_2", 'y "q"')]
+    changed = got.withColumn("raw_latex", F.when(F.col("region_id") == "eq_1_2", "new").otherwise(F.col("raw_latex")))
+    diff = R.snapshot_diff(got, changed).collect()
+    assert [(x["class"], x.status, x.base_latex, x.candidate_latex) for x in diff] == [("display", "changed", 'y "q"', "new")]
