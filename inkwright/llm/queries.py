@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embed_dedup, mixing, packing, quality, secrets, sharding, simhash, substring_dedup, token_store, topk
+from . import embed_dedup, merkle, mixing, packing, quality, secrets, sharding, simhash, substring_dedup, token_counts, token_store, topk, variants
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(_table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.word_forms(variants.vocabulary(_table(spark, sf_dir, "documents")))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.digest(_table(spark, sf_dir, "documents"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_mixing": op2_mixing,
@@ -68,10 +80,15 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_quality": op9_quality,
     "op10_simhash": op10_simhash,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_token_counts": op13_token_counts,
 }
 
 ORACLES = {
     "op2_mixing": mixing.ORACLE_SQL,
     "op3_exact_topk": topk.ORACLE_SQL,
     "op6_embedding_dedup": embed_dedup.ORACLE_SQL,
+    "op11_spelling_variants": variants.ORACLE_SQL,
+    "op12_merkle_manifest": merkle.ORACLE_SQL,
 }
