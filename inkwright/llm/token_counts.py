@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices
-from .tokens import LETTERS
+from .tokens import BYTE_LEVEL, LETTERS, PLAIN, byte_alphabet
 
-#: Entries of each memo, and code points of the longest entry: some 100 MB at most in a worker.
+#: Entries of a memo's generation, and code points of the longest entry: some 150 MB at most in a worker.
 MEMO, LONGEST = 200_000, 64
 
 # A single space between two of these is always the first character of a pretoken, so that a text
@@ -31,42 +31,47 @@ def merges(symbols: list[str], ranks: dict[tuple[str, str], int]) -> int:
     are left. A popped pair counts only if both symbols still stand as they did when it was pushed.
     Time n log n, memory n, for a run of any length.
     """
-    n = len(symbols)
+    rank_of, pop, push = ranks.get, heapq.heappop, heapq.heappush
     sym: list[str | None] = list(symbols)
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    heap = [(r, i) for i in range(n - 1) if (r := ranks.get((symbols[i], symbols[i + 1]))) is not None]
+    heap = [(r, i) for i, pair in enumerate(zip(symbols, symbols[1:])) if (r := rank_of(pair)) is not None]
     heapq.heapify(heap)
-    done = 0
+    n, done = len(sym), 0
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     while heap:
-        rank, i = heapq.heappop(heap)
+        rank, i = pop(heap)
         j = after[i]
         # a rank names one pair, so equal ranks mean that the pair is as it was
-        if sym[i] is None or j >= n or ranks.get((sym[i], sym[j])) != rank:
+        if j >= n or sym[i] is None or rank_of((sym[i], sym[j])) != rank:
             continue
         done += 1
-        sym[i], sym[j] = sym[i] + sym[j], None
-        k, h = after[j], before[i]
-        after[i] = k
+        sym[i] = one = sym[i] + sym[j]
+        sym[j] = None
+        after[i] = k = after[j]
+        h = before[i]
         if k < n:
             before[k] = i
-            if (r := ranks.get((sym[i], sym[k]))) is not None:
-                heapq.heappush(heap, (r, i))
-        if h >= 0 and (r := ranks.get((sym[h], sym[i]))) is not None:
-            heapq.heappush(heap, (r, h))
+            if (r := rank_of((one, sym[k]))) is not None:
+                push(heap, (r, i))
+        if h >= 0 and (r := rank_of((sym[h], one))) is not None:
+            push(heap, (r, h))
     return done
 
 
 class _Memo(dict):
-    """Counts of short strings; emptied when it is full."""
+    """Counts of short strings, in two generations: a full one is kept for what is asked again, and
+    the one before it is dropped."""
 
     def __init__(self, count):
         super().__init__()
-        self.count = count
+        self.count, self.last = count, {}
 
     def __missing__(self, piece: str) -> int:
-        found = self.count(piece)
+        found = self.last.get(piece)
+        if found is None:
+            found = self.count(piece)
         if len(piece) <= LONGEST:
             if len(self) >= MEMO:
+                self.last = dict(self)
                 self.clear()
             self[piece] = found
         return found
@@ -92,12 +97,21 @@ class Counter:
         self.pretokens = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
         contents = sorted((t["content"] for t in spec.get("added_tokens", [])), key=len, reverse=True)
         self.added = re.compile("|".join(map(re.escape, contents))) if contents else None
-        self.of_pretoken = _Memo(lambda p: len(p) - merges(list(p), self.ranks))
+        self.alphabet = byte_alphabet()
+        self.of_pretoken = _Memo(self._pretoken)
         self.of_piece = _Memo(self._piece)
         self.of_spaced = _Memo(lambda p: self._piece(f" {p}"))
 
+    def _pretoken(self, pretoken: str) -> int:
+        """pretoken: written in the stand-ins of its bytes."""
+        return len(pretoken) - merges(list(pretoken), self.ranks)
+
     def _piece(self, piece: str) -> int:
-        return sum([self.of_pretoken[p] for p, _ in self.pretokens(piece)])
+        if PLAIN.fullmatch(piece):  # then all Unicode versions cut it alike
+            found = [p.encode().decode("latin-1").translate(self.alphabet) for p in BYTE_LEVEL.findall(piece)]
+        else:
+            found = [p for p, _ in self.pretokens(piece)]
+        return sum([self.of_pretoken[p] for p in found])
 
     def _text(self, text: str) -> int:
         first, *rest = text.split(" ") if _EVEN.fullmatch(text) else _CUT.split(text)

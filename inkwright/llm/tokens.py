@@ -23,7 +23,7 @@ BYTE_LEVEL = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?
 WORD_LEVEL = re.compile(f"'(?:[sS]|[tT]|[rR][eE]|[vV][eE]|[mM]|[lL][lL]|[dD])|[{LETTERS}]+|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}]+")
 
 
-def _byte_alphabet() -> dict[int, str]:
+def byte_alphabet() -> dict[int, str]:
     """The printable stand-in of each byte in byte-level vocabularies: bytes that print stand for
     themselves, the others get the code points from 256 on."""
     shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
@@ -70,7 +70,7 @@ class Encoder:
             self.pattern, fold = BYTE_LEVEL, str
         elif "Lowercase" in json.dumps(spec.get("normalizer")) and '"Split"' in steps and "[\\\\p{N}]|" in steps:
             self.pattern, fold = WORD_LEVEL, str.lower
-        alphabet, model = _byte_alphabet(), self.tokenizer.model
+        alphabet, model = byte_alphabet(), self.tokenizer.model
 
         def one(pretoken: str) -> bytes:
             return self.pack([t.id for t in model.tokenize(fold(pretoken).encode().decode("latin-1").translate(alphabet))])
