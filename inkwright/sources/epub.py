@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CONTAINER = '<?xml version="1.0"?><container version="1.0" xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="OEBPS/content.opf" media-type="application/oebps-package+xml"/></rootfiles></container>'
-PAGE = '<?xml version="1.0" encoding="utf-8"?>\n<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops"><head><title>{title}</title></head><body>{body}</body></html>'
+PAGE = '<?xml version="1.0" encoding="utf-8"?>\n<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops"><head><title>{title}</title>{style}</head><body>{body}</body></html>'
 
 
 def spine(blob: bytes) -> list[tuple[int, str, bytes]]:
@@ -55,30 +55,72 @@ def read_epub(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, page_id bigint, href string, html string, error string")
 
 
-def build(title: str, author: str, uid: str, chapters: list[tuple[str | None, str]], images: dict[str, bytes] | None = None, modified: str = "2000-01-01T00:00:00Z") -> bytes:
-    """The bytes of a book: mimetype first and stored, then container, chapters, images, contents, package."""
-    images = images or {}
-    names = [f"chapter_{i:03d}" for i in range(1, len(chapters) + 1)]
-    titled = [(n, t) for n, (t, _) in zip(names, chapters) if t]
-    items = [f'<item id="{n}" href="text/{n}.xhtml" media-type="application/xhtml+xml"' + (' properties="svg"' if "<svg" in b else "") + "/>" for n, (_, b) in zip(names, chapters)]
-    items += [f'<item id="img_{n}" href="images/{n}.png" media-type="image/png"/>' for n in sorted(images)]
-    opf = f'<?xml version="1.0" encoding="utf-8"?><package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="uid"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:identifier id="uid">{escape(uid)}</dc:identifier><dc:title>{escape(title)}</dc:title><dc:creator>{escape(author)}</dc:creator><dc:language>en</dc:language><meta property="dcterms:modified">{modified}</meta></metadata><manifest><item id="nav" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/><item id="ncx" href="toc.ncx" media-type="application/x-dtbncx+xml"/>{"".join(items)}</manifest><spine toc="ncx">{"".join(f"<itemref idref=\"{n}\"/>" for n in names)}</spine></package>'
-    links = "".join(f'<li><a href="text/{n}.xhtml">{escape(t)}</a></li>' for n, t in titled)
-    nav = PAGE.format(title=escape(title), body=f'<nav epub:type="toc"><ol>{links}</ol></nav>')
-    points = "".join(f'<navPoint id="n{i}" playOrder="{i}"><navLabel><text>{escape(t)}</text></navLabel><content src="text/{n}.xhtml"/></navPoint>' for i, (n, t) in enumerate(titled, 1))
-    ncx = f'<?xml version="1.0" encoding="utf-8"?><ncx xmlns="http://www.daisy.org/z3986/2005/ncx/" version="2005-1"><head><meta name="dtb:uid" content="{escape(uid)}"/></head><docTitle><text>{escape(title)}</text></docTitle><navMap>{points}</navMap></ncx>'
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr(zipfile.ZipInfo("mimetype"), "application/epub+zip", zipfile.ZIP_STORED)
-        z.writestr("META-INF/container.xml", CONTAINER)
-        for n, (t, b) in zip(names, chapters):
-            z.writestr(f"OEBPS/text/{n}.xhtml", PAGE.format(title=escape(t or title), body=b))
-        for n in sorted(images):
-            z.writestr(f"OEBPS/images/{n}.png", images[n])
-        z.writestr("OEBPS/nav.xhtml", nav)
-        z.writestr("OEBPS/toc.ncx", ncx)
-        z.writestr("OEBPS/content.opf", opf)
-    return out.getvalue()
+#: Media types by suffix; others count as PNG, as images are made in that form.
+MEDIA = {"jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "svg": "image/svg+xml", "webp": "image/webp", "png": "image/png"}
+STYLE_LINK = '<link rel="stylesheet" type="text/css" href="{href}"/>'
+
+
+class Book:
+    """Writes a book part by part: the type first and stored, then what is added, then contents and package.
+
+    Equal parts give equal bytes. Only names and titles are kept beside the container itself.
+    """
+
+    def __init__(self, title: str, author: str, uid: str, modified: str = "2000-01-01T00:00:00Z"):
+        self.title, self.author, self.uid, self.modified = title, author, uid, modified
+        self.out = io.BytesIO()
+        self.zip = zipfile.ZipFile(self.out, "w", zipfile.ZIP_DEFLATED)
+        self._put("mimetype", "application/epub+zip", zipfile.ZIP_STORED)
+        self._put("META-INF/container.xml", CONTAINER)
+        self.items: list[str] = []
+        self.spine: list[str] = []
+        self.contents: list[tuple[str, str]] = []
+        self.styled = False
+
+    def _put(self, name: str, data: str | bytes, how: int = zipfile.ZIP_DEFLATED) -> None:
+        self.zip.writestr(zipfile.ZipInfo(name), data, how)
+
+    def style(self, css: str) -> None:
+        """A style sheet, which chapters added later refer to."""
+        self._put("OEBPS/style.css", css)
+        self.items.append('<item id="css" href="style.css" media-type="text/css"/>')
+        self.styled = True
+
+    def chapter(self, name: str, heading: str | None, body: str) -> None:
+        link = STYLE_LINK.format(href="../style.css") if self.styled else ""
+        self._put(f"OEBPS/text/{name}.xhtml", PAGE.format(title=escape(heading or self.title), body=body, style=link))
+        self.items.append(f'<item id="{name}" href="text/{name}.xhtml" media-type="application/xhtml+xml"' + (' properties="svg"' if "<svg" in body else "") + "/>")
+        self.spine.append(f'<itemref idref="{name}"/>')
+        if heading:
+            self.contents.append((name, heading))
+
+    def image(self, name: str, data: bytes) -> None:
+        """name: with its suffix, or without one for PNG."""
+        stem, _, suffix = name.rpartition(".")
+        file = name if stem else f"{name}.png"
+        self._put(f"OEBPS/images/{file}", data)
+        self.items.append(f'<item id="img_{escape(stem or name)}" href="images/{escape(file)}" media-type="{MEDIA.get(suffix.lower(), "image/png")}"/>')
+
+    def close(self) -> bytes:
+        links = "".join(f'<li><a href="text/{n}.xhtml">{escape(t)}</a></li>' for n, t in self.contents)
+        points = "".join(f'<navPoint id="n{i}" playOrder="{i}"><navLabel><text>{escape(t)}</text></navLabel><content src="text/{n}.xhtml"/></navPoint>' for i, (n, t) in enumerate(self.contents, 1))
+        self._put("OEBPS/nav.xhtml", PAGE.format(title=escape(self.title), body=f'<nav epub:type="toc"><ol>{links}</ol></nav>', style=""))
+        self._put("OEBPS/toc.ncx", f'<?xml version="1.0" encoding="utf-8"?><ncx xmlns="http://www.daisy.org/z3986/2005/ncx/" version="2005-1"><head><meta name="dtb:uid" content="{escape(self.uid)}"/></head><docTitle><text>{escape(self.title)}</text></docTitle><navMap>{points}</navMap></ncx>')
+        self._put("OEBPS/content.opf", f'<?xml version="1.0" encoding="utf-8"?><package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="uid"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:identifier id="uid">{escape(self.uid)}</dc:identifier><dc:title>{escape(self.title)}</dc:title><dc:creator>{escape(self.author)}</dc:creator><dc:language>en</dc:language><meta property="dcterms:modified">{self.modified}</meta></metadata><manifest><item id="nav" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/><item id="ncx" href="toc.ncx" media-type="application/x-dtbncx+xml"/>{"".join(self.items)}</manifest><spine toc="ncx">{"".join(self.spine)}</spine></package>')
+        self.zip.close()
+        return self.out.getvalue()
+
+
+def build(title: str, author: str, uid: str, chapters: list[tuple[str | None, str]], images: dict[str, bytes] | None = None, modified: str = "2000-01-01T00:00:00Z", css: str | None = None) -> bytes:
+    """The bytes of a book of these chapters (heading, body), images and style sheet."""
+    book = Book(title, author, uid, modified)
+    if css is not None:
+        book.style(css)
+    for i, (heading, body) in enumerate(chapters, 1):
+        book.chapter(f"chapter_{i:03d}", heading, body)
+    for name in sorted(images or {}):
+        book.image(name, images[name])
+    return book.close()
 
 
 def resolved(base: Column, link: Column) -> Column:
