@@ -94,6 +94,18 @@ def figure_rows(blocks: DataFrame) -> DataFrame:
     return drawn.unionByName(tables.filter("table_html is not null"))
 
 
+def tables_and_formulas(figures: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """figure_rows() with the formulas of table cells as placeholders, and these formulas as rows like
+    those of equation_rows(): inline, named eq_<page>_t<number>, numbered through a page by reading order."""
+    from ..functions.table_functions import formulas_in_tables
+
+    named = figures.withColumn("stem", F.concat_ws("_", F.lit("eq"), "page"))
+    rows = formulas_in_tables(named, "table_html", "stem", ["file", "page"], ["reading_order"])
+    shown = rows.filter("row_kind = 'table'").select("file", "page", "reading_order", "alt_text", F.col("html").alias("table_html"))
+    found = rows.filter("row_kind = 'formula'").select("file", "page", F.col("formula").alias("seq"), "reading_order", "region_id", F.lit("inline").alias("formula_class"), F.col("latex").alias("raw_latex"), F.lit(None).cast("string").alias("equation_number"), L.simple_text(F.col("latex")).alias("inline_text_repr"))
+    return shown, found.withColumn("render_as_text", F.col("inline_text_repr").isNotNull())
+
+
 def equation_rows(blocks: DataFrame) -> DataFrame:
     """file, page, seq, reading_order, region_id, formula_class, raw_latex (without tags), equation_number,
     render_as_text, inline_text_repr."""

@@ -6,11 +6,11 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from inkwright.plans import book_queries, latex_queries, row_queries, run_queries, table_queries
+from inkwright.plans import book_queries, formula_queries, latex_queries, row_queries, run_queries, table_queries
 
 SF = "/root/testdata/sf0.001"
-ORACLES = table_queries.ORACLES | latex_queries.ORACLES | row_queries.ORACLES | run_queries.ORACLES | book_queries.ORACLES
-QUERIES = table_queries.QUERIES | latex_queries.QUERIES | row_queries.QUERIES | run_queries.QUERIES | book_queries.QUERIES
+ORACLES = table_queries.ORACLES | latex_queries.ORACLES | row_queries.ORACLES | run_queries.ORACLES | book_queries.ORACLES | formula_queries.ORACLES
+QUERIES = table_queries.QUERIES | latex_queries.QUERIES | row_queries.QUERIES | run_queries.QUERIES | book_queries.QUERIES | formula_queries.QUERIES
 
 
 @pytest.fixture(scope="module")
