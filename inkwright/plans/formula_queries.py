@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import table_functions
+from ..functions import tex_structure as X
 from ..functions import text as T
+from ..operators import gate as G
 from ..operators import markup as M
 from ..sources import parsed_pages as P
-from .table_queries import _SPANS
+from .latex_queries import _score_sql, quoted
+from .table_queries import _SPAN_ROWS, _SPANS, spans
 
 #: Formulas of a table and of its rows, in the tables made of a document's spans.
 A_TABLE, A_ROW = 12, 3
@@ -62,7 +65,34 @@ def walked_table_formulas(spark, sf_dir):
     return found.select("page_id", "row", "id", "formula_class", "text", "seq", "html")
 
 
-QUERIES = {f.__name__: f for f in (table_cell_formulas, table_formulas_sql, walked_table_formulas)}
+#: What spans of documents are put into, in turn; ~ is the span.
+FRAMES = ("~", r"\frac{~}{b}", "{~", "x^{~}^2", r"\left( ~ \right)_1", r"\left[ ~", r"\begin{array}{c} ~ \end{array}", r"\begin{matrix} ~ \end{array}", r"\sqrt[~]{a}_b^c", "a_~_b", r"\vec", "~}")
+
+
+def _framed(spark, sf_dir) -> DataFrame:
+    frame = F.get(F.array(*map(F.lit, FRAMES)), F.pmod(F.col("doc_id") + F.col("pos"), F.lit(len(FRAMES))).cast("int"))
+    return spans(spark, sf_dir).select("doc_id", "pos", F.replace(frame, F.lit("~"), F.col("latex")).alias("x"))
+
+
+def structure_errors(spark, sf_dir):
+    """The first fault of every span of documents, each put into a frame."""
+    return _framed(spark, sf_dir).select("doc_id", "pos", X.structure_error(F.col("x")).alias("fault"))
+
+
+#: Formulas that a repair makes right, and one that none does; ~ is the letters of a span.
+BROKEN = (r"\In ~ d x", r"\Eta + w_{1}", r"~^{2} + \Nu", r"\wrong ~", r"\frac{~}{2}")
+
+
+def accepted_repairs(spark, sf_dir):
+    """Gates of formulas over the letters of spans, checked by structure, with the repairs that were kept."""
+    letters = F.regexp_replace("latex", "[^A-Za-z]", "")
+    frame = F.get(F.array(*map(F.lit, BROKEN)), F.pmod(F.col("doc_id") + F.col("pos"), F.lit(len(BROKEN))).cast("int"))
+    rows = spans(spark, sf_dir).select("doc_id", "pos", F.replace(frame, F.lit("~"), letters).alias("x"))
+    found = G.validate(rows, "x", F.lit(False), X.compiles)
+    return found.select("doc_id", "pos", "normalized", F.round("score", 6).alias("score"), "gate", "repair_attempts", "error_code")
+
+
+QUERIES = {f.__name__: f for f in (table_cell_formulas, table_formulas_sql, walked_table_formulas, structure_errors, accepted_repairs)}
 _FORMULAS = f"(SELECT doc_id, pos, trim(CASE WHEN starts_with(span, '$$') OR starts_with(span, '\\') THEN span[3:-3] ELSE span[2:-2] END, ' ' || chr(9) || chr(10) || chr(13)) AS latex FROM (SELECT doc_id, pos, replace(span, '<', '&lt;') AS span FROM {_SPANS}))"
 _NAMES = """(SELECT page_id, list_filter(list_transform(regexp_extract_all(html, '<a href="/([^"]*)"', 1), lambda s: regexp_replace(s, '[^A-Za-z]', '', 'g')), lambda s: s <> '') AS names FROM pages)"""
 ORACLES = {
@@ -79,3 +109,40 @@ UNION ALL SELECT page_id, 'figure', 'tb_' || page_id || '_1', NULL, 'table', 2,
 UNION ALL SELECT page_id, 'equation', 'eq_' || page_id || '_t' || i, 'inline', '\\alpha_{{' || s || '}}', 1, NULL FROM e
 UNION ALL SELECT page_id, 'equation', 'eq_' || page_id || '_t' || (len(names) + 1), 'inline', '\\alpha_{{' || one || '}}', 2, NULL FROM n""",
 }
+
+_LIST = lambda items: "[" + ", ".join(map(quoted, items)) + "]"
+_FRAME = lambda frames, text: f"replace({_LIST(frames)}[(doc_id + pos) % {len(frames)} + 1], '~', {text})"
+_TAKES = "CASE " + " ".join(f"WHEN c = {quoted(k)}" + (" OR starts_with(c, '\\sqrt')" if k == r"\sqrt" else "") + f" THEN {v}" for k, v in X.ARGUMENTS.items()) + " ELSE 0 END"
+ORACLES["structure_errors"] = rf"""
+WITH RECURSIVE f AS (SELECT doc_id, pos, {_FRAME(FRAMES, "latex")} AS x FROM {_SPAN_ROWS}),
+s AS (SELECT doc_id, pos, regexp_extract_all(x, {quoted(X.TOKEN)}) AS t, 0 AS i, []::STRUCT(kind VARCHAR, pending VARCHAR, flags VARCHAR, need INT)[] AS st, '' AS p, '' AS fl, 0 AS n, false AS d, NULL::VARCHAR AS e FROM f
+UNION ALL SELECT doc_id, pos, t, i + 1,
+ CASE WHEN a = 'push' THEN list_append(st, {{'kind': CASE WHEN c = '{{' THEN c WHEN c = '\left' THEN 'L' ELSE 'E' || name END, 'pending': p, 'flags': fl, 'need': n}}) WHEN a = 'pop' THEN st[:-2] ELSE st END,
+ CASE WHEN a = 'push' THEN '' WHEN a = 'script' THEN c WHEN a IN ('pop', 'atom') AND n0 <= 1 THEN '' ELSE p0 END,
+ CASE WHEN a IN ('push', 'clear') THEN '' WHEN a = 'script' THEN fl || c WHEN a IN ('pop', 'atom') AND n0 <= 1 AND p0 = '' THEN '' ELSE f0 END,
+ CASE WHEN a = 'push' THEN 0 WHEN a = 'need' THEN greatest(n - 1, 0) + takes WHEN a IN ('pop', 'atom') THEN greatest(n0 - 1, 0) ELSE n END,
+ a <> 'delim' AND (c IN ('\left', '\right') AND a IN ('push', 'pop')),
+ CASE WHEN a[1] = '!' THEN a[2:] END
+FROM (SELECT *, CASE WHEN a = 'pop' THEN l.pending ELSE p END AS p0, CASE WHEN a = 'pop' THEN l.flags ELSE fl END AS f0, CASE WHEN a = 'pop' THEN l.need ELSE n END AS n0 FROM (SELECT *, CASE
+  WHEN d THEN CASE WHEN c IN ('{{', '}}') THEN '!missing_delimiter' ELSE 'delim' END
+  WHEN (c IN ('}}', '&', '\right', '\\', '^', '_') OR ends) AND (p <> '' OR n > 0) THEN '!missing_argument'
+  WHEN c = '{{' OR c = '\left' OR begins THEN 'push'
+  WHEN c = '}}' THEN CASE WHEN top = '{{' THEN 'pop' WHEN top = '' THEN '!extra_close' WHEN top = 'L' THEN '!unclosed_left' ELSE '!unclosed_environment' END
+  WHEN c = '\right' THEN CASE WHEN top = 'L' THEN 'pop' ELSE '!extra_right' END
+  WHEN ends THEN CASE WHEN top = 'E' || name THEN 'pop' ELSE '!mismatched_end' END
+  WHEN c IN ('^', '_') THEN CASE WHEN contains(fl, c) THEN CASE WHEN c = '^' THEN '!double_superscript' ELSE '!double_subscript' END ELSE 'script' END
+  WHEN c = '&' THEN CASE WHEN starts_with(top, 'E') THEN 'clear' ELSE '!misplaced_alignment' END
+  WHEN c = '\\' THEN 'clear' WHEN c = '$' THEN '!math_shift' WHEN c = '#' THEN '!parameter_char' WHEN c = '\' THEN '!lone_backslash'
+  WHEN list_contains({_LIST(X.PASSED)}, c) THEN 'none' WHEN takes > 0 THEN 'need' ELSE 'atom' END AS a
+ FROM (SELECT *, coalesce(l.kind, '') AS top, starts_with(c, '\begin') AND name <> '' AS begins, starts_with(c, '\end') AND name <> '' AS ends, {_TAKES} AS takes
+  FROM (SELECT *, t[i + 1] AS c, st[-1] AS l, regexp_extract(t[i + 1], '\{{(.*)\}}', 1) AS name FROM s WHERE i < len(t) AND e IS NULL))))),
+z AS (SELECT doc_id, pos, e, d, p, n, coalesce(st[-1].kind, '') AS top FROM s WHERE e IS NOT NULL OR i = len(t))
+SELECT doc_id, pos, CASE WHEN e IS NOT NULL THEN e WHEN d THEN 'missing_delimiter' WHEN p <> '' OR n > 0 THEN 'missing_argument' WHEN top = '{{' THEN 'unclosed_group' WHEN top = 'L' THEN 'unclosed_left' WHEN top <> '' THEN 'unclosed_environment' END AS fault FROM z"""
+ORACLES["accepted_repairs"] = rf"""
+WITH f AS (SELECT doc_id, pos, (doc_id + pos) % {len(BROKEN)} AS k, regexp_replace(latex, '[^A-Za-z]', '', 'g') AS w FROM {_SPAN_ROWS}),
+g AS (SELECT doc_id, pos, k, regexp_replace(trim(replace(['\In ~ d x', '\Eta + w_{{1}}', '~^{{2}} + \Nu', '\wrong ~', '\frac{{~}}{{2}}'][k + 1], '~', w)), ' +', ' ', 'g') AS before,
+ regexp_replace(trim(replace(['\int ~ d x', '\eta + w_{{1}}', '~^{{2}} + \nu', '\wrong ~', '\frac{{~}}{{2}}'][k + 1], '~', w)), ' +', ' ', 'g') AS after FROM f),
+h AS (SELECT *, {_score_sql('after', 'false')} AS good, {_score_sql('before', 'false')} AS bad FROM g),
+j AS (SELECT *, k <> 3 AND good >= 0.4 - 1e-12 AS kept FROM h)
+SELECT doc_id, pos, CASE WHEN kept THEN after ELSE before END AS normalized, round(CASE WHEN kept THEN good ELSE bad END, 6) AS score, CASE WHEN NOT kept THEN 'fallback' WHEN good >= 0.65 - 1e-12 THEN 'pass' ELSE 'repair' END AS gate,
+ CASE WHEN kept AND k < 3 THEN 1 ELSE 0 END::INT AS repair_attempts, CASE WHEN NOT kept THEN CASE WHEN k = 4 THEN 'E503.plausibility' ELSE 'E501' END WHEN good < 0.65 - 1e-12 THEN 'E503.plausibility' END AS error_code FROM j"""
