@@ -41,6 +41,11 @@ def _spans(hits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows, cols
 
 
+def _weighed(hits: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """hits @ weights, row blocks at a time: the product widens the bits it reads."""
+    return np.concatenate([hits[k : k + 256] @ weights for k in range(0, len(hits), 256)])
+
+
 def link(df: DataFrame, threshold: float = 0.93, key: str = "vec_id", vec: str = "embedding", label: str = "label", shard: int = SHARD, beam: int = 64) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of df.
 
@@ -54,7 +59,8 @@ def link(df: DataFrame, threshold: float = 0.93, key: str = "vec_id", vec: str =
     Equal vectors of a label (by 128 bits of hash) are one node with a count, however many there
     are. The nodes of a label are hashed into shards; each shard is indexed by a navigable
     small-world graph, and every shard is searched by the nodes of each other shard of the label,
-    once for each pair of shards. Beams widen until an audit against exact neighbours passes, hits
+    once for each pair of shards. Beams widen until an audit against exact neighbours of a sample
+    passes, in which no vector counts as its own neighbour; hits
     are checked in double precision, and each pair of shards returns counts and a spanning forest,
     not its links. Components are then united. An empty table gives no rows; extra columns play
     no part.
@@ -62,10 +68,12 @@ def link(df: DataFrame, threshold: float = 0.93, key: str = "vec_id", vec: str =
     return _link(df, threshold, key, vec, label, shard, beam)[0]
 
 
-def audited(df: DataFrame, threshold: float = 0.93, key: str = "vec_id", vec: str = "embedding", label: str = "label", shard: int = SHARD, beam: int = 64) -> tuple[int, int]:
-    """Links that the graph walks of link() found, and true links, of the queries that audits looked at."""
-    found = _link(df, threshold, key, vec, label, shard, beam)[1]
-    return tuple(x or 0 for x in found.agg(F.sum("found"), F.sum("true")).first())
+def audited(df: DataFrame, threshold: float = 0.93, key: str = "vec_id", vec: str = "embedding", label: str = "label", shard: int = SHARD, beam: int = 64) -> tuple[int, int, float]:
+    """Links between different vectors that the graph walks of link() found, and true ones, of the
+    queries that audits looked at, over all shards; and the share of all pairs that audits multiplied."""
+    told = _link(df, threshold, key, vec, label, shard, beam)[1]
+    found, true, scanned, pairs = told.agg(*[F.sum(c) for c in ("found", "true", "scanned", "pairs")]).first()
+    return found or 0, true or 0, (scanned or 0) / (pairs or 1)
 
 
 def _link(df: DataFrame, threshold: float, key: str, vec: str, label: str, shard: int, beam: int) -> tuple[DataFrame, DataFrame]:
@@ -101,7 +109,7 @@ def _link(df: DataFrame, threshold: float, key: str, vec: str, label: str, shard
 
         from .hnsw import Hnsw, within
 
-        names = ["node", "links", "root", "found", "true"]
+        names = ["node", "links", "root", "found", "true", "scanned", "pairs"]
         for batch in batches:
             for r in batch.to_pylist():
                 sides = []
@@ -114,25 +122,24 @@ def _link(df: DataFrame, threshold: float, key: str, vec: str, label: str, shard
                 unit = lambda x: (y := x / np.abs(x).max(1, keepdims=True)) / np.sqrt((y * y).sum(1))[:, None]
                 ua, ub = unit(xa), unit(xb)
                 graph = Hnsw.load(ua.astype(np.float32), r["a_graph"])
-                got = within(graph, ub.astype(np.float32), threshold, lambda i, j: np.einsum("kd,kd->k", ub[i], ua[j]), beam)
+                got = within(graph, ub.astype(np.float32), threshold, lambda i, j: np.einsum("kd,kd->k", ub[i], ua[j]), beam, own=r["same"])
                 hits = got.linked
                 if r["same"]:
-                    hits |= hits.T
                     np.fill_diagonal(hits, True)  # a node's row and its column are one
                     root = na[_spans(hits)[0]]
                     np.fill_diagonal(hits, False)
-                    nodes, counts = na, hits @ ca
+                    nodes, counts = na, _weighed(hits, ca)
                 else:
                     rows, cols = _spans(hits)
-                    nodes, counts, root = np.r_[na, nb], np.r_[hits.T @ cb, hits @ ca], nb[np.r_[cols, rows]]
+                    nodes, counts, root = np.r_[na, nb], np.r_[_weighed(hits.T, cb), _weighed(hits, ca)], nb[np.r_[cols, rows]]
                 some = counts > 0
                 none = np.zeros(int(some.sum()), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(counts[some].astype(np.int64)), pa.array(root[some]), pa.array(none), pa.array(none)], names)
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 3 + [pa.array([got.found]), pa.array([got.true])], names)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(counts[some].astype(np.int64)), pa.array(root[some])] + [pa.array(none)] * 4, names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 3 + [pa.array([x], pa.int64()) for x in (got.found, got.true, got.scanned, hits.size)], names)
 
     side = lambda s: shards.select("label", *[F.col(c).alias(f"{s}_{c}") for c in ("shard", "dim", "nodes", "counts", "v", "wide", *(["graph"] if s == "a" else []))])
     pairs = side("a").join(side("b"), "label").filter("a_shard <= b_shard").withColumn("same", F.expr("a_shard = b_shard")).drop("label")
-    told = materialize(pairs.repartition(F.col("a_nodes"), F.col("b_nodes")).mapInArrow(compare, "node long, links long, root long, found long, true long"), "embed-links")
+    told = materialize(pairs.repartition(F.col("a_nodes"), F.col("b_nodes")).mapInArrow(compare, "node long, links long, root long, found long, true long, scanned long, pairs long"), "embed-links")
     found = told.filter("node is not null").select("node", "links", "root")
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     comps = materialize(connected_components(found, "node", "root"), "embed-components")
@@ -142,7 +149,7 @@ def _link(df: DataFrame, threshold: float, key: str, vec: str, label: str, shard
     out = rows.drop("v").join(facts, [*node, "ok"], "left")
     component = F.when(F.col("ok"), F.col("smallest")).otherwise(F.col("id"))
     out = out.select(F.col("id").alias(key), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
-    return out, told.select("found", "true")
+    return out, told.select("found", "true", "scanned", "pairs")
 
 
 ORACLE_SQL = """

@@ -32,26 +32,32 @@ class Hnsw:
         return graph
 
     def _layer(self, members: np.ndarray, width: int) -> None:
-        """Add a layer below the present ones: its upper members first, then the others, batch by batch."""
-        links = np.full((len(self.x), width), -1, np.int32)
+        """Add a layer below the present ones: its upper members first, then the others, batch by batch.
+
+        While it grows, a node may hold half as many links again as it keeps in the end, so that
+        links are chosen anew once for many that came, not for each.
+        """
+        links = np.full((len(self.x), width + width // 2), -1, np.int32)
+        held = np.zeros(len(self.x), np.int64)
         above = self.nodes[0] if self.nodes else members[:1]
         rest = np.setdiff1d(members, above, assume_unique=True)
         done = np.zeros(0, np.int64)
         step = 32
         for part in ([above] if len(above) <= BATCH else np.array_split(above, -(-len(above) // BATCH))):
-            self._insert(part, done, links, width)
+            self._insert(part, done, links, held, width)
             done = np.r_[done, part]
         k = 0
         while k < len(rest):
             part = rest[k : k + step]
-            self._insert(part, done, links, width)
+            self._insert(part, done, links, held, width)
             done = np.r_[done, part]
             k += len(part)
             step = min(BATCH, 2 * step)
+        self._choose(np.flatnonzero(held > width), links, held, width)
         self.nodes.insert(0, members)
-        self.layers.insert(0, links)
+        self.layers.insert(0, np.ascontiguousarray(links[:, :width]))
 
-    def _insert(self, part: np.ndarray, done: np.ndarray, links: np.ndarray, width: int) -> None:
+    def _insert(self, part: np.ndarray, done: np.ndarray, links: np.ndarray, held: np.ndarray, width: int) -> None:
         q = self.x[part]
         among = q @ q.T
         np.fill_diagonal(among, -2)
@@ -65,41 +71,56 @@ class Hnsw:
         keep = min(BUILD_BEAM, ids.shape[1])
         top = np.argsort(-sims, axis=1, kind="stable")[:, :keep]
         ids, sims = np.take_along_axis(ids, top, 1), np.take_along_axis(sims, top, 1)
-        links[part] = self._spread(q, ids, sims, width)
-        # links back: each new neighbour chooses again among its old links and the new ones
-        src, dst = np.repeat(part, width), links[part].ravel()
+        own = max(width // 2, 8)
+        links[part, :own] = self._spread(ids, sims, own)
+        held[part] = (links[part] >= 0).sum(1)
+        # links back: into free places, or chosen anew among the old ones and the new ones
+        src, dst = np.repeat(part, own), links[part, :own].ravel()
         ok = dst >= 0
         src, dst = src[ok], dst[ok]
         order = np.argsort(dst, kind="stable")
         src, dst = src[order], dst[order]
         targets, first, count = np.unique(dst, return_index=True, return_counts=True)
-        extra = np.full((len(targets), min(int(count.max(initial=0)), 4 * width)), -1, np.int64)
-        for j in range(extra.shape[1]):
-            has = count > j
-            extra[has, j] = src[first[has] + j]
+        nth = np.arange(len(dst)) - np.repeat(first, count)
+        while len(dst):
+            place = held[dst] + nth
+            fits = place < links.shape[1]
+            links[dst[fits], place[fits]] = src[fits]
+            np.add.at(held, dst[fits], 1)
+            src, dst, nth = src[~fits], dst[~fits], nth[~fits]
+            targets = np.unique(dst)
+            self._choose(targets, links, held, width)
+            nth = np.arange(len(dst)) - np.searchsorted(dst, dst)
+
+    def _choose(self, targets: np.ndarray, links: np.ndarray, held: np.ndarray, width: int) -> None:
+        """Cut the links of these nodes to ``width``."""
         for k in range(0, len(targets), BATCH):
             t = targets[k : k + BATCH]
-            pool = np.c_[links[t], extra[k : k + BATCH]]
-            pool = np.sort(pool, axis=1)
+            pool = np.sort(links[t].astype(np.int64), axis=1)
             pool[:, 1:][pool[:, 1:] == pool[:, :-1]] = -1
-            near = np.einsum("bkd,bd->bk", self.x[pool], self.x[t])
+            near = np.matmul(self.x[pool], self.x[t][:, :, None])[:, :, 0]
             near[pool < 0] = -2
             order = np.argsort(-near, axis=1, kind="stable")
-            links[t] = self._spread(self.x[t], np.take_along_axis(pool, order, 1), np.take_along_axis(near, order, 1), width)
+            kept = self._spread(np.take_along_axis(pool, order, 1), np.take_along_axis(near, order, 1), width)
+            kept = np.take_along_axis(kept, np.argsort(kept < 0, axis=1, kind="stable"), 1)
+            links[t] = -1
+            links[t, :width] = kept
+            held[t] = (kept >= 0).sum(1)
 
-    def _spread(self, q: np.ndarray, ids: np.ndarray, sims: np.ndarray, width: int) -> np.ndarray:
+    def _spread(self, ids: np.ndarray, sims: np.ndarray, width: int) -> np.ndarray:
         """Of candidates in falling similarity, those nearer to the node than to any chosen before;
         places left go to the nearest others."""
         b, k = ids.shape
         v = self.x[ids]
+        between = np.matmul(v, v.transpose(0, 2, 1))
         chosen = np.zeros((b, k), bool)
         nearest = np.full((b, k), -2.0, self.x.dtype)
+        n_chosen = np.zeros(b, np.int64)
         for j in range(k):
-            ok = (sims[:, j] > -2) & (nearest[:, j] < sims[:, j]) & (chosen.sum(1) < width)
+            ok = (sims[:, j] > -2) & (nearest[:, j] < sims[:, j]) & (n_chosen < width)
             chosen[:, j] = ok
-            if ok.any():
-                rows = np.flatnonzero(ok)
-                nearest[rows] = np.maximum(nearest[rows], np.einsum("bkd,bd->bk", v[rows], v[rows, j]))
+            n_chosen += ok
+            np.maximum(nearest, between[:, :, j], out=nearest, where=ok[:, None])
         order = np.argsort(np.where(chosen, 0, np.where(sims > -2, 1, 2)), axis=1, kind="stable")[:, :width]
         out = np.full((b, width), -1, np.int32)
         picked = np.take_along_axis(ids, order, 1)
@@ -167,23 +188,28 @@ class Hnsw:
 
 @dataclass
 class Hits:
-    """linked[i, j]: query i and node j link. Of ``true`` links of the audited queries the search had ``found``."""
+    """linked[i, j]: query i and node j link. Of ``true`` links of the audited queries the walk had ``found``;
+    the audits multiplied ``scanned`` of len(queries) * len(nodes) pairs."""
 
     linked: np.ndarray
     beam: int
     found: int
     true: int
+    scanned: int
 
 
-def within(graph: Hnsw, q: np.ndarray, threshold: float, exact, beam: int = 64, audit: int = 48, enough: int = 256, recall: float = 0.999) -> Hits:
-    """Which queries and nodes have a cosine of ``threshold`` or more.
+def within(graph: Hnsw, q: np.ndarray, threshold: float, exact, beam: int = 64, own: bool = False, audit: int = 256, recall: float = 0.99) -> Hits:
+    """Which queries and nodes have a cosine of ``threshold`` or more; own: the queries are the nodes, and
+    no node links with itself.
 
     All queries walk the graph; those whose whole beam lies within the threshold walk it again with
-    a wider one. An audit then takes the exact neighbours of queries until it has seen ``enough``
-    true links or all queries; those that the walk linked and others take turns. Where the walk had less
-    than ``recall`` of them the beam widens, and after a beam of the whole graph everything is
-    scanned. What an audit finds is kept. exact(i, j) is the cosine in double precision of query
-    rows i and nodes j; only pairs that it confirms are hits.
+    a wider one. An audit then takes the exact neighbours of at most ``audit`` queries that the walk
+    linked and as many others, an eighth of the queries each at most. Of a shard's own links, each is
+    sought from both ends, so the share found from both tells what one walk misses. Where the walk
+    had less than ``recall`` of the audit's links, or nine tenths from both ends, the beam widens;
+    after a beam of the whole graph everything is scanned. Links that an audit finds are kept.
+    exact(i, j) is the cosine in double precision of query rows i and nodes j; only pairs that it
+    confirms are links.
     """
     n = len(graph.x)
     slack = 1e-5  # what single precision may lose in the search
@@ -194,6 +220,8 @@ def within(graph: Hnsw, q: np.ndarray, threshold: float, exact, beam: int = 64,
         for k in range(0, len(r), 1 << 16):
             a, b = r[k : k + (1 << 16)], c[k : k + (1 << 16)]
             out[a, b] = exact(rows[a], b) >= threshold
+        if own:
+            out[np.arange(len(rows)), rows] = False
         return out
 
     def walk(rows: np.ndarray, width: int, out: np.ndarray) -> None:
@@ -202,6 +230,9 @@ def within(graph: Hnsw, q: np.ndarray, threshold: float, exact, beam: int = 64,
             part = rows[k : k + BATCH]
             ids, sims = graph.search(q[part], width)
             r, c = np.nonzero(sims >= threshold - slack)
+            if own:
+                other = part[r] != ids[r, c]
+                r, c = r[other], c[other]
             good = exact(part[r], ids[r, c]) >= threshold
             out[part[r[good]], ids[r[good], c[good]]] = True
             full.append(part[sims[:, -1] >= threshold - slack])
@@ -211,24 +242,27 @@ def within(graph: Hnsw, q: np.ndarray, threshold: float, exact, beam: int = 64,
 
     everyone = np.arange(len(q))
     mixed = np.random.default_rng(9).permutation(len(q))
+    size, scanned = min(audit, -(-len(q) // 8)), 0
     while True:
         out = np.zeros((len(q), n), bool)
         walk(everyone, beam, out)
+        agreed = True
+        if own:
+            once = int(out.sum())
+            agreed = int((out & out.T).sum()) >= 0.9 * once
+            out |= out.T
         linked = out.any(1)[mixed]
-        # queries that the walk linked and others take turns, so that both kinds are audited from the start
-        rank = np.where(linked, np.cumsum(linked), np.cumsum(~linked))
-        order = mixed[np.argsort(rank, kind="stable")]
-        found, true, at, step = 0, 0, 0, audit
-        while at < len(order) and true < enough:
-            part = order[at : at + step]
-            truth = scan(part)
-            found, true, at = found + int((out[part] & truth).sum()), true + int(truth.sum()), at + len(part)
-            out[part] = truth
-            step = min(2 * step, 1024)
-        if found >= recall * true:
-            return Hits(out, beam, found, true)
+        sample = np.r_[mixed[linked][:size], mixed[~linked][:size]]
+        truth = scan(sample)
+        scanned += truth.size
+        found, true = int((out[sample] & truth).sum()), int(truth.sum())
+        out[sample] |= truth
+        if agreed and found >= recall * true:
+            if own:
+                out |= out.T
+            return Hits(out, beam, found, true, scanned)
         if beam >= n:
             for k in range(0, len(q), 1024):
                 out[everyone[k : k + 1024]] = scan(everyone[k : k + 1024])
-            return Hits(out, beam, int(out.sum()), int(out.sum()))
+            return Hits(out, beam, found, true, scanned + out.size)
         beam *= 4
