@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,11 +63,40 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def trim() -> None:
+    """Give back to the machine what a worker no longer uses: workers are kept between stages, and
+    an executor's share must hold those of all of them."""
+    import ctypes
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+    if give_back:
+        give_back(0)
+
+
 def slices(batches: Iterator, rows: int = 512) -> Iterator:
     """Arrow batches cut to at most ``rows`` rows, so that what a worker makes of one stays small."""
+    trim()
     for b in batches:
         for k in range(0, b.num_rows, rows):
             yield b.slice(k, rows)
+        b = None
+    trim()
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1024) -> Iterator[None]:
+    """Send workers batches of at most ``rows`` rows while tables of whole texts are written."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(was)) if int(was) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
 
 
 def unused(df: DataFrame, stem: str) -> str:

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import materialize, slices, small_batches
 
 #: Pieces that one task packs at once.
 GROUP = 16384
@@ -52,7 +52,8 @@ def pieces(df: DataFrame, tokenizer: str, end_id: int, size: int = 4096, key: st
             take = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "uid", "piece", "start", "length", "ids_crc32", "ids"])
 
-    return materialize(rows.mapInArrow(encode, f"doc_id {kind}, uid bigint, piece int, start bigint, length bigint, ids_crc32 bigint, ids binary"), "pack-pieces")
+    with small_batches(df.sparkSession):
+        return materialize(rows.mapInArrow(encode, f"doc_id {kind}, uid bigint, piece int, start bigint, length bigint, ids_crc32 bigint, ids binary"), "pack-pieces")
 
 
 def sum_of_squares(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

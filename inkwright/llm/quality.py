@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_scratch, materialize, slices, unused
+from .common import drop_scratch, materialize, slices, small_batches, unused
 
 #: Bound on the labelled rows that a fit uses.
 LABELLED = 4096
@@ -228,7 +228,8 @@ def _surest(others: DataFrame, text: Logistic, meta: Logistic, counts: tuple[int
             if len(keys):
                 yield pa.RecordBatch.from_arrays([pa.array([view] * len(keys)), pa.array([c] * len(keys), pa.int32()), pa.array(sure), pa.array(keys), pa.array([v.tobytes() for v in x], pa.binary())], ["view", "label", "sure", "key", "x"])
 
-    kept = materialize(others.select("t", "lang", "source", "n_chars").mapInArrow(run, "view string, label int, sure double, key bigint, x binary"), "quality-surest")
+    with small_batches(others.sparkSession):
+        kept = materialize(others.select("t", "lang", "source", "n_chars").mapInArrow(run, "view string, label int, sure double, key bigint, x binary"), "quality-surest")
     out = []
     for view in ("text", "meta"):
         for c in (0, 1):
