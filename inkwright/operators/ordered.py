@@ -136,11 +136,17 @@ def place_notes(notes: DataFrame, files: DataFrame, markers: DataFrame, doc: str
     """doc, note_id, file, linked: where each note is printed.
 
     Linked notes (a marker points at them) go to their marker's file; others to the first file that
-    holds content of a later page; the rest to the last file. files: doc, file, max_page.
+    holds content of a later page; the rest, and those without a page, to the last file. files: doc,
+    file, max_page. An as-of join: a document's notes and files are sorted once, not paired.
     """
     at = markers.groupBy(doc, "note_id").agg(F.min("file").alias("marker_file"))
     last = files.groupBy(doc).agg(F.max("file").alias("last_file"))
-    later = notes.alias("n").join(files.alias("f"), (F.col(f"n.{doc}") == F.col(f"f.{doc}")) & (F.col("f.max_page") > F.col("n.page"))).groupBy(F.col(f"n.{doc}").alias(doc), F.col("n.note_id").alias("note_id")).agg(F.min("f.file").alias("later_file"))
+    # from the last page back, notes meet the smallest file among those that end on a later page
+    ends = files.select(doc, F.col("max_page").alias("page"), "file", F.lit(None).cast(dict(notes.dtypes)["note_id"]).alias("note_id"), F.lit(True).alias("ends"))
+    asked = notes.select(doc, "page", F.lit(None).cast(dict(files.dtypes)["file"]).alias("file"), "note_id", F.lit(False).alias("ends"))
+    back = W.partitionBy(doc).orderBy(F.col("page").desc(), "ends").rowsBetween(W.unboundedPreceding, W.currentRow)
+    met = ends.union(asked).withColumn("later_file", F.min("file").over(back)).filter("not ends and page is not null")
+    later = met.groupBy(doc, "note_id").agg(F.min("later_file").alias("later_file"))
     out = notes.join(at, [doc, "note_id"], "left").join(later, [doc, "note_id"], "left").join(last, doc, "left")
     return out.select(doc, "note_id", F.coalesce("marker_file", "later_file", "last_file").alias("file"), F.col("marker_file").isNotNull().alias("linked"))
 

@@ -162,3 +162,21 @@ def test_snapshots_are_written_read_and_compared(spark, tmp_path):
     changed = got.withColumn("raw_latex", F.when(F.col("region_id") == "eq_1_2", "new").otherwise(F.col("raw_latex")))
     diff = R.snapshot_diff(got, changed).collect()
     assert [(x["class"], x.status, x.base_latex, x.candidate_latex) for x in diff] == [("display", "changed", 'y "q"', "new")]
+
+
+def test_notes_go_to_the_first_file_that_ends_later(spark):
+    from inkwright.operators import ordered
+
+    r = random.Random(6)
+    files = [(d, f, r.choice([None, *range(12)])) for d in "ab" for f in range(6)]
+    notes = [(d, n, r.choice([None, *range(14)])) for d in "abc" for n in range(40)] + [("a", 1, 3), ("a", 1, 0)]
+    markers = [("a", 5, 4), ("a", 5, 2), ("b", 7, 0)]
+    got = ordered.place_notes(spark.createDataFrame(notes, "doc_id string, note_id int, page int"), spark.createDataFrame(files, "doc_id string, file int, max_page int"), spark.createDataFrame(markers, "doc_id string, note_id int, file int"))
+    want = []
+    for d, n, _ in notes:
+        mine = [f for x, m, f in markers if (x, m) == (d, n)]
+        later = [f for x, f, m in files for y, k, p in notes if x == d == y and k == n and m is not None and p is not None and m > p]
+        last = [f for x, f, _ in files if x == d]
+        want.append((d, n, min(mine) if mine else min(later) if later else max(last, default=None), bool(mine)))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    assert "BroadcastNestedLoopJoin" not in got._jdf.queryExecution().executedPlan().toString()
