@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import parsed_pages
 from ..streaming import watchdog
 
 
@@ -18,7 +19,16 @@ def open_stalls(spark, sf_dir):
     return watchdog.stalls(_table(spark, sf_dir, "events"), "user_id", "ts", 43200.0, counter, F.col("event_type") == "signup", order=["event_id"])
 
 
-QUERIES = {f.__name__: f for f in (open_stalls,)}
+def preferred_parses(spark, sf_dir):
+    """The parse to read of each document (here: market segment and nation), named after it or not."""
+    c = _table(spark, sf_dir, "customer")
+    document = F.concat("c_mktsegment", F.lit("_"), "c_nationkey")
+    name = F.when(F.col("c_acctbal") > 8000, document).when(F.col("c_acctbal") > 0, F.col("c_name"))
+    path = F.concat(F.lit("p/"), F.col("c_name"), F.lit("/"), F.coalesce(F.concat(name, F.lit("_middle.json")), F.lit("other.json")))
+    return parsed_pages.preferred_each(c.select(document.alias("document"), path.alias("path")))
+
+
+QUERIES = {f.__name__: f for f in (open_stalls, preferred_parses)}
 ORACLES = {
     "open_stalls": """
 WITH e AS (SELECT user_id, ts, event_id, event_type = 'signup' AS ended, CASE WHEN event_type <> 'view' THEN json_extract_string(props, '$.k') END AS progress FROM events),
@@ -27,4 +37,7 @@ b AS (SELECT *, last_value(progress IGNORE NULLS) OVER (PARTITION BY user_id, ru
 t AS (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS until FROM b WHERE ended OR CASE WHEN progress IS NULL THEN before IS NULL ELSE progress IS DISTINCT FROM before END)
 SELECT user_id, ts AS since, ts + INTERVAL 43200 SECOND AS deadline, until, CASE WHEN coalesce(progress, before) IS NULL THEN 'silent' ELSE 'frozen' END AS reason, coalesce(progress, before) AS progress
 FROM t, (SELECT max(ts) AS now FROM events) WHERE NOT ended AND epoch_us(coalesce(until, now)) - epoch_us(ts) > 43200000000""",
+    "preferred_parses": """
+WITH f AS (SELECT c_mktsegment || '_' || c_nationkey AS document, CASE WHEN c_acctbal > 8000 THEN 0 ELSE 1 END::INT AS preference, 'p/' || c_name || '/' || CASE WHEN c_acctbal > 8000 THEN c_mktsegment || '_' || c_nationkey ELSE c_name END || '_middle.json' AS path FROM customer WHERE c_acctbal > 0)
+SELECT document, path, preference FROM (SELECT *, row_number() OVER (PARTITION BY document ORDER BY preference, path) AS r FROM f) WHERE r = 1""",
 }

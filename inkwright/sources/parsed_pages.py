@@ -35,6 +35,15 @@ def preferred(files: DataFrame, stem: str, path: str = "path") -> DataFrame:
     return found.orderBy("preference", path).limit(1)
 
 
+def preferred_each(files: DataFrame, document: str = "document", path: str = "path") -> DataFrame:
+    """document, path, preference: one parse a document, chosen as by preferred(), the document's name
+    being the stem. Documents without a parse have no row; a null document has none either."""
+    named = F.col(path).endswith(F.concat(F.lit("/"), F.col(document), F.lit("_middle.json")))
+    found = files.filter(F.col(path).endswith("_middle.json") & F.col(document).isNotNull())
+    best = F.min(F.struct(F.when(named, 0).otherwise(1).alias("preference"), F.col(path).alias("path")))
+    return found.groupBy(document).agg(best.alias("b")).select(document, F.col("b.path").alias(path), F.col("b.preference").alias("preference"))
+
+
 def pending(expected: DataFrame, present: DataFrame, whole_present: bool, key: str = "dir") -> DataFrame:
     """Batches still to parse: none once the whole document is parsed, else those that are not there."""
     return expected.filter(F.lit(not whole_present)).join(present.select(key), key, "left_anti")
