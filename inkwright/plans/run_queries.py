@@ -37,29 +37,32 @@ def preferred_parses(spark, sf_dir):
     return parsed_pages.preferred_each(c.select(document.alias("document"), path.alias("path")))
 
 
+#: Groups of sources with a run each.
+LIBRARIES = 4
 #: When the first run's artefacts are stored; each run stores a day later.
 FIRST = datetime(2024, 1, 1, tzinfo=timezone.utc)
 
 
 def _runs(spark: SparkSession, sf_dir: str) -> tuple[str, Artefacts]:
-    """A run for each language of documents, in order: its formulas are judged, then looked up in a
-    store that all runs share, and those it lacks are put there. Languages are few, whatever the table."""
+    """A run for each of LIBRARIES groups of sources, in order: its formulas are judged, then looked up
+    in a store that all runs share, and those it lacks are put there."""
     folder = shared_folder(spark, "runs")
     store = Artefacts(spark, f"{folder}/store", "latex string, score double", digits=1)
-    docs = _table(spark, sf_dir, "documents")
-    found = docs.select("lang", F.explode(T.delimiters(F.col("text"))).alias("span"))
+    library = F.concat(F.lit("library_"), F.coalesce(F.regexp_extract("source", r"(\d+)", 1).try_cast("int"), F.lit(0)) % LIBRARIES)
+    docs = _table(spark, sf_dir, "documents").withColumn("library", library)
+    found = docs.select("library", F.explode(T.delimiters(F.col("text"))).alias("span"))
     kind = F.when(T.is_display(F.col("span")), "display").otherwise("inline")
-    rows = found.select("lang", kind.alias("formula_class"), T.inside(F.col("span")).alias("latex"))
+    rows = found.select("library", kind.alias("formula_class"), T.inside(F.col("span")).alias("latex"))
     rows = rows.withColumn("key", F.sha2(F.concat("formula_class", F.lit("|"), "latex"), 256))
-    for day, (lang,) in enumerate(docs.select("lang").distinct().orderBy("lang").collect()):
-        with runs.Run(spark, str(lang), folder, run_id=f"lang-{day}") as run:
+    for day in range(LIBRARIES):
+        with runs.Run(spark, f"library_{day}", folder, run_id=f"run-{day}") as run:
             judged = f"{folder}/judged/{run.run_id}"
             with run.stage("validate") as stage:
                 score = F.round(L.plausibility(F.col("latex"), F.lit(False)), 6)
-                own = rows.filter(F.col("lang").eqNullSafe(lang)).withColumn("score", score)
+                own = rows.filter(F.col("library") == run.document).withColumn("score", score)
                 stage.watch(own, total_equations=F.count("*"), equations_passed=F.count_if(F.col("score") >= 0.65), equations_fallback=F.count_if(F.col("score") < 0.4)).write.parquet(judged)
             with run.stage("cache") as stage:
-                asked = spark.read.schema("lang string, formula_class string, latex string, key string, score double").parquet(judged)
+                asked = spark.read.schema("library string, formula_class string, latex string, key string, score double").parquet(judged)
                 seen = store.lookup(asked.select("key", F.col("latex").alias("own_latex"), F.col("score").alias("own_score")))
                 stage.watch(seen, cache_hits=F.count_if("hit"), cache_misses=F.count_if(~F.col("hit"))).write.parquet(f"{judged}-seen")
                 missed = spark.read.schema(seen.schema).parquet(f"{judged}-seen").filter("not hit")
@@ -67,7 +70,7 @@ def _runs(spark: SparkSession, sf_dir: str) -> tuple[str, Artefacts]:
     return folder, store
 
 
-def language_runs(spark, sf_dir):
+def library_runs(spark, sf_dir):
     """The result records of the runs, as they were written."""
     folder, _ = _runs(spark, sf_dir)
     done = runs.read_results(spark, folder)
@@ -75,15 +78,15 @@ def language_runs(spark, sf_dir):
     return done.select("document_path", "ok", "total_equations", "equations_passed", "equations_repaired", "equations_fallback", "cache_hits", "cache_misses", R.hit_rate(F.col("cache_hits"), F.col("cache_misses")).alias("hit_rate"), stages.alias("stages"), "fatal_error")
 
 
-def language_artefacts(spark, sf_dir):
+def library_artefacts(spark, sf_dir):
     """What the store holds after all runs, compacted: each formula once, from the run that met it first."""
     _, store = _runs(spark, sf_dir)
     store.compact("all")
     return store.read().select("key", "latex", "score", F.datediff("stored_at", F.lit(FIRST)).alias("run"))
 
 
-QUERIES = {f.__name__: f for f in (open_stalls, preferred_parses, language_runs, language_artefacts)}
-_BY_LANG = f"(SELECT lang, dense_rank() OVER (ORDER BY lang) - 1 AS run, latex, sha256(formula_class || '|' || latex) AS key, round({_score_sql('latex', 'false')}, 6) AS score FROM {_SPAN_ROWS} JOIN documents USING (doc_id))"
+QUERIES = {f.__name__: f for f in (open_stalls, preferred_parses, library_runs, library_artefacts)}
+_BY_RUN = f"(SELECT coalesce(try_cast(regexp_extract(source, '(\\d+)', 1) AS INT), 0) % {LIBRARIES} AS run, latex, sha256(formula_class || '|' || latex) AS key, round({_score_sql('latex', 'false')}, 6) AS score FROM {_SPAN_ROWS} JOIN documents USING (doc_id))"
 ORACLES = {
     "open_stalls": """
 WITH e AS (SELECT user_id, ts, event_id, event_type = 'signup' AS ended, CASE WHEN event_type <> 'view' THEN json_extract_string(props, '$.k') END AS progress FROM events),
@@ -95,10 +98,10 @@ FROM t, (SELECT max(ts) AS now FROM events) WHERE NOT ended AND epoch_us(coalesc
     "preferred_parses": """
 WITH f AS (SELECT c_mktsegment || '_' || c_nationkey AS document, CASE WHEN c_acctbal > 8000 THEN 0 ELSE 1 END::INT AS preference, 'p/' || c_name || '/' || CASE WHEN c_acctbal > 8000 THEN c_mktsegment || '_' || c_nationkey ELSE c_name END || '_middle.json' AS path FROM customer WHERE c_acctbal > 0)
 SELECT document, path, preference FROM (SELECT *, row_number() OVER (PARTITION BY document ORDER BY preference, path) AS r FROM f) WHERE r = 1""",
-    "language_runs": f"""
-WITH s AS (SELECT *, lang > min(lang) OVER (PARTITION BY key) AS hit FROM {_BY_LANG}),
-c AS (SELECT lang AS document_path, count(*) AS total_equations, count(*) FILTER (score >= 0.65) AS equations_passed, count(*) FILTER (score < 0.4) AS equations_fallback, count(*) FILTER (hit) AS cache_hits, count(*) FILTER (NOT hit) AS cache_misses FROM s GROUP BY lang)
-SELECT l.lang AS document_path, true AS ok, coalesce(total_equations, 0) AS total_equations, coalesce(equations_passed, 0) AS equations_passed, 0::BIGINT AS equations_repaired, coalesce(equations_fallback, 0) AS equations_fallback, coalesce(cache_hits, 0) AS cache_hits, coalesce(cache_misses, 0) AS cache_misses,
- coalesce(round(cache_hits / nullif(cache_hits + cache_misses, 0), 4), 0)::DOUBLE AS hit_rate, 'validate:ok,cache:ok' AS stages, NULL::VARCHAR AS fatal_error FROM (SELECT DISTINCT lang FROM documents) l LEFT JOIN c ON l.lang = c.document_path""",
-    "language_artefacts": f"SELECT key, any_value(latex) AS latex, any_value(score) AS score, min(run)::INT AS run FROM {_BY_LANG} GROUP BY key",
+    "library_runs": f"""
+WITH s AS (SELECT *, run > min(run) OVER (PARTITION BY key) AS hit FROM {_BY_RUN}),
+c AS (SELECT run, count(*) AS total_equations, count(*) FILTER (score >= 0.65) AS equations_passed, count(*) FILTER (score < 0.4) AS equations_fallback, count(*) FILTER (hit) AS cache_hits, count(*) FILTER (NOT hit) AS cache_misses FROM s GROUP BY run)
+SELECT 'library_' || l.run AS document_path, true AS ok, coalesce(total_equations, 0) AS total_equations, coalesce(equations_passed, 0) AS equations_passed, 0::BIGINT AS equations_repaired, coalesce(equations_fallback, 0) AS equations_fallback, coalesce(cache_hits, 0) AS cache_hits, coalesce(cache_misses, 0) AS cache_misses,
+ coalesce(round(cache_hits / nullif(cache_hits + cache_misses, 0), 4), 0)::DOUBLE AS hit_rate, 'validate:ok,cache:ok' AS stages, NULL::VARCHAR AS fatal_error FROM (SELECT unnest(range({LIBRARIES})) AS run) l LEFT JOIN c ON l.run = c.run""",
+    "library_artefacts": f"SELECT key, any_value(latex) AS latex, any_value(score) AS score, min(run)::INT AS run FROM {_BY_RUN} GROUP BY key",
 }
