@@ -124,6 +124,16 @@ def test_unresolved_nodes_stay_few():
     assert len(f.nodes) < 2 * 17
 
 
+def test_every_row_folds_its_own_proof():
+    leaves = [h(str(i)) for i in range(5)]
+    root, proofs = plain_tree(leaves, 2)
+    places = [merkle.Node(0, 0, i) for i in range(5)]
+    assert merkle.fold_all(leaves, places, [5] * 5, 1, proofs) == [root] * 5
+    proofs[3] = h("forged") + proofs[3][64:]
+    assert [r == root for r in merkle.fold_all(leaves, places, [5] * 5, 1, proofs)] == [True, True, True, False, True]
+    assert merkle.fold_all([h("claimed"), *leaves[1:]], places, [5] * 5, 1, proofs)[0] != root
+
+
 def test_sql(spark):
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
