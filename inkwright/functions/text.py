@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .strings import count_of, replace_all, strip
+from .strings import count_of, let, replace_all, strip
 
 # Patterns and formats.
 DELIMITED = r"(?s)\$\$(.+?)\$\$|\\\[(.+?)\\\]|\\\((.+?)\\\)|\$([^$\n]+?)\$"
 CELL_DELIMITED = r"(?s)\\\[(.+?)\\\]|\\\((.+?)\\\)|\$\$(.+?)\$\$|\$(.+?)\$"
 PLACEHOLDER = r"\[\[EQ:([A-Za-z0-9_]+)\]\]"
 URL = r"(?i)(?<![\w@.])(?:https?://[^\s<>\"]+|www\.[^\s<>\"]+|doi:\s*10\.\d{4,}/[^\s<>\"]+|10\.\d{4,}/[^\s<>\"]+)"
+#: What may be peeled off the end of an address.
+URL_TAIL = r"[.,;:!?'\")\]}]*\z"
 URL_SAFE = r"^[A-Za-z0-9\-._~:/?#@!$&'()*+,;=%]+$"
 ALLOWED_TABLE_TAGS = ("table", "thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup", "col", "a", "b", "br", "code", "em", "i", "p", "span", "strong", "sub", "sup")
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
@@ -50,7 +52,9 @@ def placeholder(region: Column) -> Column:
 
 
 def trim_url(url: Column) -> Column:
-    """Without sentence marks and unpaired closers at the end, peeled in turn until neither is left."""
+    """Without sentence marks and unpaired closers at the end, peeled in turn until neither is left.
+
+    A turn that peels takes one at least, so there are as many turns as marks and closers at the end."""
 
     def peel(u: Column, _: Column) -> Column:
         last = F.right(u, F.lit(1))
@@ -59,51 +63,63 @@ def trim_url(url: Column) -> Column:
             spare |= (last == b) & (count_of(u, b) > count_of(u, a))
         return F.when(last.isin(*".,;:!?'\""), F.regexp_replace(u, r"[.,;:!?'\"]+$", "")).when(spare, F.left(u, F.length(u) - 1)).otherwise(u)
 
-    return F.aggregate(F.sequence(F.lit(0), F.length(url)), url, peel)
+    return let(url, lambda u: F.aggregate(F.sequence(F.lit(0), F.length(F.regexp_extract(u, URL_TAIL, 0))), u, peel))
 
 
 def link(match: Column) -> Column:
     """The markup for one match of URL in escaped text; what the address does not include follows it."""
-    cut = F.regexp_extract(match, r"(?s)^(.*?)(?:&lt;|&gt;|&quot;|$)", 1)
-    url = trim_url(cut)
-    low = F.lower(url)
     doi = F.lit("https://doi.org/")
-    href = F.when(low.rlike("^https?://"), url).when(low.startswith("www."), F.concat(F.lit("http://"), url)).when(low.startswith("doi:"), F.concat(doi, strip(F.substring(url, F.lit(5), F.length(url))))).otherwise(F.concat(doi, url))
-    fine = (url != "") & F.replace(href, F.lit("&amp;"), F.lit("&")).rlike(URL_SAFE)
-    rest = F.substring(match, F.length(url) + 1, F.length(match))
-    return F.when(fine, F.concat(F.lit('<a href="'), href, F.lit('">'), url, F.lit("</a>"), rest)).otherwise(match)
+
+    def target(url: Column) -> Column:
+        low = F.lower(url)
+        return F.when(low.rlike("^https?://"), url).when(low.startswith("www."), F.concat(F.lit("http://"), url)).when(low.startswith("doi:"), F.concat(doi, strip(F.substring(url, F.lit(5), F.length(url))))).otherwise(F.concat(doi, url))
+
+    def shown(match: Column, url: Column, href: Column) -> Column:
+        fine = (url != "") & F.replace(href, F.lit("&amp;"), F.lit("&")).rlike(URL_SAFE)
+        rest = F.substring(match, F.length(url) + 1, F.length(match))
+        return F.when(fine, F.concat(F.lit('<a href="'), href, F.lit('">'), url, F.lit("</a>"), rest)).otherwise(match)
+
+    cut = lambda m: F.regexp_extract(m, r"(?s)^(.*?)(?:&lt;|&gt;|&quot;|$)", 1)
+    return let(match, lambda m: let(trim_url(cut(m)), lambda url: let(target(url), lambda href: shown(m, url, href))))
 
 
 def linkify(escaped: Column) -> Column:
-    """Bare addresses and DOIs as links; no text is lost."""
-    found, gaps = F.regexp_extract_all(escaped, F.lit(URL), F.lit(0)), F.split(escaped, URL)
-    parts = F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(link(F.get(found, i)), F.lit(""))))
-    return F.when(escaped.rlike(URL), F.array_join(parts, "")).otherwise(escaped)
+    """Bare addresses and DOIs as links; no text is lost. Each text is searched once, each address cut once."""
+
+    def joined(p: Column) -> Column:
+        return F.array_join(F.transform(p["gaps"], lambda g, i: F.concat(g, F.coalesce(link(F.get(p["found"], i)), F.lit("")))), "")
+
+    cut = lambda x: F.struct(F.regexp_extract_all(x, F.lit(URL), F.lit(0)).alias("found"), F.split(x, URL).alias("gaps"))
+    return let(escaped, lambda x: F.when(x.rlike(URL), let(cut(x), joined)).otherwise(x))
 
 
 def _table_lines(x: Column) -> Column:
     return F.filter(F.split(strip(x), r"\r\n|\r|\n"), lambda s: strip(s) != "")
 
 
-def is_pipe_table(x: Column) -> Column:
-    lines = _table_lines(x)
+def _are_pipe_table(lines: Column) -> Column:
     rule = F.get(lines, F.lit(1))
     return (F.size(lines) >= 3) & F.forall(lines, lambda s: s.rlike(r"(?U)^\s*\|(.+)\|\s*$")) & rule.rlike(r"(?U)^[\s|:-]+$") & rule.contains("-")
 
 
+def is_pipe_table(x: Column) -> Column:
+    return let(_table_lines(x), _are_pipe_table)
+
+
 def pipe_table_html(x: Column) -> Column:
     """A table for a pipe table, rows padded to the widest; null for anything else."""
-    lines = _table_lines(x)
     cells = lambda s: F.transform(F.split(F.regexp_extract(s, r"(?U)^\s*\|(.+)\|\s*$", 1), r"\|"), strip)
-    body = F.transform(F.slice(lines, F.lit(3), F.size(lines)), cells)
-    head = cells(F.get(lines, F.lit(0)))
-    width = F.array_max(F.transform(F.concat(F.array(head), body), F.size))
+    read = lambda lines: F.struct(cells(F.get(lines, F.lit(0))).alias("head"), F.transform(F.slice(lines, F.lit(3), F.size(lines)), cells).alias("body"))
+    widest = lambda t: F.array_max(F.transform(F.concat(F.array(t["head"]), t["body"]), F.size))
 
-    def row(c: Column, tag: str) -> Column:
+    def row(c: Column, tag: str, width: Column) -> Column:
         padded = F.concat(c, F.array_repeat(F.lit(""), width - F.size(c)))
         return F.concat(F.lit("<tr>"), F.array_join(F.transform(padded, lambda v: F.concat(F.lit(f"<{tag}>"), v, F.lit(f"</{tag}>"))), ""), F.lit("</tr>"))
 
-    return F.when(is_pipe_table(x), F.concat(F.lit("<table>"), row(head, "th"), F.array_join(F.transform(body, lambda c: row(c, "td")), ""), F.lit("</table>")))
+    def table(t: Column, width: Column) -> Column:
+        return F.concat(F.lit("<table>"), row(t["head"], "th", width), F.array_join(F.transform(t["body"], lambda c: row(c, "td", width)), ""), F.lit("</table>"))
+
+    return let(_table_lines(x), lambda lines: F.when(_are_pipe_table(lines), let(read(lines), lambda t: let(widest(t), lambda width: table(t, width)))))
 
 
 def unknown_table_tags(x: Column) -> Column:

@@ -55,9 +55,14 @@ def _mark(forms: list[str]) -> str:
     return "~" if forms is SVGS else "#"
 
 
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Rows dealt over all cores: keys of millions of rows are a few MB, one task, and what is made of each is long."""
+    return rows.repartition(max(64, 3 * rows.sparkSession.sparkContext.defaultParallelism), key)
+
+
 def made(spark: SparkSession, sf_dir: str, forms: list[str]) -> DataFrame:
     """id, n, x: the formula whose turn the order's key is, with the customer's key for #."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    orders = dealt(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey"), "o_orderkey")
     form = F.get(F.array(*map(F.lit, forms)), (F.col("o_orderkey") % len(forms)).cast("int"))
     return orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("n"), F.replace(form, F.lit(_mark(forms)), F.col("o_custkey").cast("string")).alias("x"))
 

@@ -1,12 +1,34 @@
 """Plans that work a table or a text out once, and workers that hold a few pages at a time."""
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
+from inkwright.functions import text as T
 from inkwright.operators import markup
+from inkwright.plans import latex_queries
 
 SF = "/root/testdata/sf0.001"
 
 
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_link_is_cut_once(spark):
+    found = plan(spark.createDataFrame([("x",)], "t string").select(T.linkify(F.col("t")).alias("h")))
+    assert found.count("aggregate(") == 1 and found.count("regexp_extract_all") == 1
+    assert "RepartitionByExpression" in plan(latex_queries.QUERIES["linkify"](spark, SF))
+
+
+def test_links_with_long_tails(spark):
+    cases = {"https://a.org/x)" + ").,]" * 40: "https://a.org/x", "http://a.org/(b)))": "http://a.org/(b)", "http://a.org/b.)?!": "http://a.org/b", "http://a.org/b_(c).": "http://a.org/b_(c)"}
+    rows = spark.createDataFrame([(k,) for k in cases], "t string").select("t", T.linkify(F.col("t")).alias("h"), T.trim_url(F.col("t")).alias("u")).collect()
+    for r in rows:
+        u = cases[r.t]
+        assert r.u == u and r.h == f'<a href="{u}">{u}</a>{r.t[len(u):]}'
+    assert spark.createDataFrame([(None,)], "t string").select(T.linkify(F.col("t")), T.is_pipe_table(F.col("t")), T.pipe_table_html(F.col("t"))).first() == (None, None, None)
+
+
 def test_rows_of_pages_leave_a_worker_in_small_batches():
     n = 5 * markup.WALK_PAGES + 1
     one = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array([None if i == 7 else f"<html><body><p>a {i}</p><p>b</p></body></html>" for i in range(n)])], ["page_id", "html"])
