@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import table_functions
 from ..functions import tex_structure as X
 from ..functions import text as T
+from ..functions.strings import let
 from ..operators import gate as G
 from ..operators import markup as M
 from ..sources import parsed_pages as P
@@ -29,11 +30,11 @@ def _span_pages(spark, sf_dir) -> DataFrame:
     cut = lambda a, n: F.transform(F.sequence(F.lit(0), F.ceil(F.size(a) / n).cast("int") - 1), lambda i: F.slice(a, i * n + 1, F.lit(n)))
     row = lambda r: F.concat(F.lit("<tr>"), F.array_join(r, ""), F.lit("</tr>"))
     table = lambda t: F.concat(F.lit("<table>"), F.array_join(F.transform(cut(t, A_ROW), row), ""), F.lit("</table>"))
-    rows = docs.select("doc_id", cells.alias("cells")).filter(F.size("cells") > 0)
+    rows = docs.filter(F.col("text").rlike(T.DELIMITED))
     span = lambda html: F.struct(F.lit("table").alias("type"), F.lit("cells").alias("content"), html.alias("html"))
     lines = lambda html: F.array(F.struct(F.array(span(html)).alias("spans")))
     body = lambda html: F.struct(F.lit("table_body").alias("type"), lines(html).alias("lines"))
-    blocks = F.transform(cut(F.col("cells"), A_TABLE), lambda t, i: F.struct(F.lit("table").alias("type"), i.cast("double").alias("index"), F.array(body(table(t))).alias("blocks")))
+    blocks = let(cells, lambda c: F.transform(cut(c, A_TABLE), lambda t, i: F.struct(F.lit("table").alias("type"), i.cast("double").alias("index"), F.array(body(table(t))).alias("blocks"))))
     page = F.struct(F.col("doc_id").cast("int").alias("page_idx"), blocks.alias("para_blocks"))
     raw = rows.select(F.lit("x_middle.json").alias("file"), F.to_json(F.struct(F.array(page).alias("pdf_info"))).alias("j"))
     return P.rebase(raw.select("file", F.from_json("j", P.SCHEMA).alias("j")).select("file", "j.pdf_info"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import latex as L
 from ..functions import text as T
+from ..functions.strings import let
 
 _SPAN = "struct<type:string,content:string,bbox:array<double>,html:string>"
 _LINES = f"array<struct<spans:array<{_SPAN}>>>"
@@ -23,9 +24,15 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return rebase(raw)
 
 
+def each(rows: DataFrame, items: Column, name: str, *keep: str) -> DataFrame:
+    """keep and one item a row. An outer explode, less the rows without a place: for an inner one Spark adds a
+    condition on the array, which works it out a second time."""
+    return rows.select(*keep, F.posexplode_outer(items).alias("__at", name)).filter("__at is not null").drop("__at")
+
+
 def rebase(raw: DataFrame) -> DataFrame:
     offset = F.coalesce(F.regexp_extract("file", r"batch_(\d+)_", 1).try_cast("int"), F.lit(0))
-    rows = raw.select("file", offset.alias("offset"), F.explode("pdf_info").alias("p"))
+    rows = each(raw.withColumn("offset", offset), F.col("pdf_info"), "p", "file", "offset")
     return rows.select("file", (F.col("p.page_idx") + F.col("offset")).alias("page"), F.col("p.page_size").alias("page_size"), F.col("p.para_blocks").alias("blocks"), F.col("p.discarded_blocks").alias("discarded"))
 
 
@@ -59,19 +66,23 @@ def _is_formula(s: Column) -> Column:
 
 def _joined(lines: Column, page: Column, before: Column) -> Column:
     """A block's text, its formulas as placeholders of their ids; ``before`` of the page's stand before it."""
-    all_ = spans(lines)
-    seq = lambda i: before + F.size(F.filter(F.slice(all_, F.lit(1), i + 1), _is_formula))
-    shown = F.transform(all_, lambda s, i: F.when(_is_formula(s), T.placeholder(F.concat_ws("_", F.lit("eq"), page, seq(i)))).otherwise(F.trim(F.coalesce(s["content"], F.lit("")))))
-    return F.array_join(F.filter(shown, lambda t: t != ""), " ")
+
+    def shown(all_: Column) -> Column:
+        seq = lambda i: before + F.size(F.filter(F.slice(all_, F.lit(1), i + 1), _is_formula))
+        return F.transform(all_, lambda s, i: F.when(_is_formula(s), T.placeholder(F.concat_ws("_", F.lit("eq"), page, seq(i)))).otherwise(F.trim(F.coalesce(s["content"], F.lit("")))))
+
+    return F.array_join(F.filter(let(spans(lines), shown), lambda t: t != ""), " ")
 
 
 def flat_blocks(pages: DataFrame) -> DataFrame:
-    """file, page, type, parent, reading_order, lines: a list's sub-blocks follow it by fractions."""
+    """file, page, type, parent, reading_order, lines: a list's sub-blocks follow it by fractions. Pages are
+    read once, a block with sub-blocks giving them in its place."""
     top = pages.select("file", "page", F.posexplode("blocks").alias("pos", "b"))
     order = F.coalesce("b.index", F.col("pos").cast("double"))
-    own = top.filter(F.size(F.coalesce("b.blocks", F.array())) == 0).select("file", "page", F.col("b.type").alias("type"), F.lit(None).cast("string").alias("parent"), order.alias("reading_order"), F.col("b.lines").alias("lines"))
-    sub = top.select("file", "page", F.col("b.type").alias("parent"), order.alias("o"), F.posexplode("b.blocks").alias("i", "s"))
-    return own.unionByName(sub.select("file", "page", F.col("s.type").alias("type"), "parent", (F.col("o") + F.col("i") / 1024).alias("reading_order"), F.col("s.lines").alias("lines")))
+    row = lambda b, parent, at: F.struct(b["type"].alias("type"), parent.cast("string").alias("parent"), at.alias("reading_order"), b["lines"].alias("lines"))
+    sub = F.transform("b.blocks", lambda s, i: row(s, F.col("b.type"), order + i / 1024))
+    whole = F.array(row(F.col("b"), F.lit(None), order))
+    return each(top, F.when(F.size(F.coalesce("b.blocks", F.array())) == 0, whole).otherwise(sub), "r", "file", "page").select("file", "page", "r.*")
 
 
 def _numbered(blocks: DataFrame) -> DataFrame:
@@ -92,15 +103,22 @@ def text_rows(blocks: DataFrame) -> DataFrame:
 
 
 def figure_rows(blocks: DataFrame) -> DataFrame:
-    """file, page, reading_order, alt_text, table_html of images, tables and pipe tables."""
-    lines = F.col("lines")
-    body = blocks.filter(F.col("type").isin("image_body", "table_body"))
-    alt = F.regexp_replace(F.trim(F.array_join(F.transform(spans(lines), lambda s: F.coalesce(s["content"], F.lit(""))), " ")), r"\s+", " ")
-    html = F.get(F.filter(F.transform(spans(lines), lambda s: s["html"]), lambda h: h.isNotNull()), F.lit(0))
-    drawn = body.select("file", "page", "reading_order", alt.alias("alt_text"), html.alias("table_html"))
-    piped = T.pipe_table_html(_joined(lines, F.col("page"), F.lit(0)))
-    tables = blocks.filter((F.col("type") == "text") & (F.size(F.filter(spans(lines), _is_formula)) == 0)).select("file", "page", "reading_order", F.lit("table").alias("alt_text"), piped.alias("table_html"))
-    return drawn.unionByName(tables.filter("table_html is not null"))
+    """file, page, reading_order, alt_text, table_html of images, tables and pipe tables. Blocks are read once."""
+    figure = lambda alt, html: F.array(F.struct(alt.alias("alt_text"), html.alias("table_html")))
+
+    def drawn(all_: Column) -> Column:
+        alt = F.regexp_replace(F.trim(F.array_join(F.transform(all_, lambda s: F.coalesce(s["content"], F.lit(""))), " ")), r"\s+", " ")
+        return figure(alt, F.get(F.filter(F.transform(all_, lambda s: s["html"]), lambda h: h.isNotNull()), F.lit(0)))
+
+    def piped(all_: Column) -> Column:
+        shown = F.filter(F.transform(all_, lambda s: F.trim(F.coalesce(s["content"], F.lit("")))), lambda t: t != "")
+        html = F.when(~F.exists(all_, lambda s: F.coalesce(_is_formula(s), F.lit(False))), T.pipe_table_html(F.array_join(shown, " ")))
+        return F.filter(figure(F.lit("table"), html), lambda f: f["table_html"].isNotNull())
+
+    # an array a block, so that a condition on what comes out isn't worked out a second time before it
+    found = let(spans(F.col("lines")), lambda all_: F.when(F.col("type") == "text", piped(all_)).otherwise(drawn(all_)))
+    kinds = blocks.filter(F.col("type").isin("text", "image_body", "table_body"))
+    return each(kinds, found, "f", "file", "page", "reading_order").select("file", "page", "reading_order", "f.*")
 
 
 def tables_and_formulas(figures: DataFrame) -> tuple[DataFrame, DataFrame]:
