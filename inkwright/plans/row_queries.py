@@ -16,6 +16,7 @@ from ..sources import epub as E
 from ..sources import formats as S
 from ..sources import parsed_pages as P
 from ..streaming import logs
+from .latex_queries import dealt
 
 _span = lambda kind, text, **more: {"type": kind, "content": text, **more}
 _lines = lambda *spans: [{"spans": list(spans)}]
@@ -38,7 +39,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _pages(spark, sf_dir):
     """A parse for each customer, in the folder of the batch that begins at page 10."""
-    c = _table(spark, sf_dir, "customer")
+    c = dealt(_table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey")
     text = F.replace(F.lit(json.dumps(PARSED)), F.lit("#"), F.col("c_custkey").cast("string"))
     raw = c.select(F.concat(F.lit("out/"), "c_custkey", F.lit("/batch_00010_00019/x_middle.json")).alias("file"), F.from_json(text, P.SCHEMA).alias("j"))
     return P.rebase(raw.select("file", "j.pdf_info"))

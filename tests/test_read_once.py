@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from inkwright.functions import text as T
 from inkwright.operators import markup
-from inkwright.plans import formula_queries, latex_queries
+from inkwright.plans import formula_queries, latex_queries, row_queries
 from inkwright.sources import parsed_pages as P
 
 SF = "/root/testdata/sf0.001"
@@ -22,6 +22,11 @@ def test_table_formulas_read_documents_and_cut_texts_once(spark):
     assert figures.count("Relation [") == 1 and figures.count("regexp_extract_all") == 1
 
 
+def test_parsed_figures_read_pages_once_over_all_cores(spark):
+    found = row_queries.parsed_figures(spark, SF)
+    assert plan(found).count("Relation [") == 1 and "RepartitionByExpression" in plan(found)
+
+
 def test_blocks_and_figures_of_odd_pages(spark):
     block = lambda kind, index, text, blocks=None, html=None: {"type": kind, "index": index, "lines": [{"spans": [{"type": "text", "content": text, "html": html}]}, {"spans": None}], "blocks": blocks}
     inner = [{"type": "table_body", "lines": [{"spans": [{"type": "table", "content": " a  b ", "html": "<table/>"}]}]}, {"type": None, "lines": None}]
