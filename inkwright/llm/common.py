@@ -58,14 +58,15 @@ def clear_scratch(spark: SparkSession) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished phases now, not when memory runs short."""
-    gc.collect()
+    """Let Spark delete the shuffle files and broadcasts of finished phases now, not when memory runs
+    short, and give back what the driver no longer uses."""
+    trim()
     spark._jvm.System.gc()
 
 
 def trim() -> None:
-    """Give back to the machine what a worker no longer uses: workers are kept between stages, and
-    an executor's share must hold those of all of them."""
+    """Give back to the machine what a worker or the driver no longer uses: workers are kept between
+    stages, and an executor's share must hold those of all of them."""
     import ctypes
 
     import pyarrow as pa

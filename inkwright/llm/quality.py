@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_scratch, materialize, slices, small_batches, unused
+from .common import drop_scratch, materialize, release, slices, small_batches, unused
 
 #: Bound on the labelled rows that a fit uses.
 LABELLED = 4096
@@ -84,7 +84,9 @@ class Logistic:
     @classmethod
     def fit(cls, x: np.ndarray, y: np.ndarray, ridge: float = 3.0, steps: int = 8) -> Logistic:
         mean, scale = x.mean(0), np.maximum(x.std(0), 1e-3)
-        a = np.c_[(x - mean) / scale, np.ones(len(x))]
+        a = np.ones((len(x), x.shape[1] + 1))
+        np.subtract(x, mean, out=a[:, :-1])
+        a[:, :-1] /= scale
         penalty = np.r_[np.full(x.shape[1], ridge), 1e-3]
         w = np.zeros(a.shape[1])
         for _ in range(steps):
@@ -140,17 +142,23 @@ def co_train(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, surest, rounds: int
     text features, metadata features).
     """
     held = np.arange(len(y)) % 3 == 2
-    lt, lm, ly = xt[~held], xm[~held], y[~held]
+    n, ly = int((~held).sum()), y[~held]
     given: dict[str, dict] = {"text": {}, "meta": {}}  # rows and labels that a view has been given, by hash
     prior = float(np.clip(y.mean(), 0.01, 0.99))
     # each class gets pseudo-labels in proportion to its share of the labels
     counts = (max(1, round(HANDED * (1 - prior))), max(1, round(HANDED * prior)))
+    # one table a view, with places for what it may be given: the driver holds no second copy for a fit
+    tables = {name: np.empty((n + rounds * sum(counts), x.shape[1])) for name, x in (("text", xt), ("meta", xm))}
+    for name, x in (("text", xt), ("meta", xm)):
+        np.compress(~held, x, axis=0, out=tables[name][:n])
 
     def fits() -> tuple[Logistic, Logistic]:
         out = []
-        for x, name in ((lt, "text"), (lm, "meta")):
+        for name, x in tables.items():
             more = [given[name][k] for k in sorted(given[name])]
-            out.append(Logistic.fit(np.r_[x, np.array([m[0] for m in more]).reshape(-1, x.shape[1])], np.r_[ly, [m[1] for m in more]]))
+            for i, (row, _) in enumerate(more, n):
+                x[i] = row
+            out.append(Logistic.fit(x[: n + len(more)], np.r_[ly, [m[1] for m in more]]))
         return out[0], out[1]
 
     text, meta = fits()
@@ -185,7 +193,7 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text
     Null keys and labels are ignored; a key with several labels takes their majority, good on a
     tie; of rows with one key, that with the smallest hash counts. Equal texts are one candidate for
     a pseudo-label. Only features of the labelled rows and of the surest ones reach the driver,
-    some 4 KB a row. None if there are fewer than three rows of either class.
+    some 4 KB a row, and they are held there once. None if there are fewer than three rows of either class.
     """
     good = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("k")).agg((F.avg(label) >= 0.5).cast("double").alias("y"))
     ids = df.select(F.col(key).alias("k")).filter("k is not null").distinct()
@@ -193,16 +201,22 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text
     vectors = _features_udf()
     one = df.select(F.col(key).alias("k"), F.struct(F.col(text).alias("t"), *_meta_columns(df)).alias("d"))
     rows = one.join(F.broadcast(chosen), "k").groupBy("k").agg(F.first("y").alias("y"), F.min_by("d", F.xxhash64("d")).alias("d"))
-    got = rows.select("k", "y", vectors("d.t", "d.lang", "d.source", "d.n_chars").alias("x")).toPandas().sort_values(["k"], kind="stable")
-    if not len(got):
-        return None
-    x, y = np.array([np.frombuffer(b, np.float64) for b in got["x"]]), got["y"].to_numpy()
+    got = rows.select("k", "y", vectors("d.t", "d.lang", "d.source", "d.n_chars").alias("x")).toArrow().sort_by("k")
+    y = got["y"].to_numpy()
     if min((y == 1).sum(), (y == 0).sum()) < 3:
         return None
     others = one.join(F.broadcast(chosen.select("k")), "k", "left_anti").select("d.*")
     # both classes in the same order in each third
     order = np.argsort(-y, kind="stable")
-    return co_train(x[order, :N_TEXT], x[order, N_TEXT:], y[order], lambda *a: _surest(others, *a), rounds)
+    x = np.empty((len(y), N_TEXT + N_META))
+    for i, k in enumerate(order.tolist()):
+        x[i] = np.frombuffer(got["x"][k].as_buffer(), np.float64)
+    y, got = y[order], None
+    release(df.sparkSession)
+    model = co_train(x[:, :N_TEXT], x[:, N_TEXT:], y, lambda *a: _surest(others, *a), rounds)
+    x = None
+    release(df.sparkSession)
+    return model
 
 
 def _surest(others: DataFrame, text: Logistic, meta: Logistic, counts: tuple[int, int]) -> list[tuple]:

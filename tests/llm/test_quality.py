@@ -1,5 +1,7 @@
 """The quality classifier against a plain version that holds all rows in memory."""
 
+import tracemalloc
+
 import numpy as np
 import pyarrow.parquet as pq
 import xxhash
@@ -70,3 +72,19 @@ def test_repeated_keys_and_copies_do_not_reach_the_driver(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(quality, "co_train", lambda xt, xm, y, surest, rounds: seen.append((len(y), xt.shape, surest)))
     assert quality.fit(df, labels) is None and seen[0][0] == 40
+
+
+def test_the_driver_holds_the_features_of_labelled_rows_once(spark):
+    """On the driver, a fit holds the labelled rows, the part that a view learns, and its scaled rows."""
+    n = 6000
+    df = spark.range(n).selectExpr("id AS doc_id", "concat('plain words of row ', id, if(id % 3 = 0, ' ### $$$', ' in order')) AS text", "'en' AS lang", "concat('s', id % 9) AS source", "id AS n_chars")
+    labels = spark.range(n).selectExpr("id AS doc_id", "int(id % 3 > 0) AS quality")
+    quality.fit(df, labels, rounds=0)  # what is imported and kept is not counted
+    tracemalloc.start()
+    try:
+        model = quality.fit(df, labels, rounds=0)
+        held = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert model is not None
+    assert held < 4 * quality.LABELLED * 8 * (quality.N_TEXT + quality.N_META)
