@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -193,7 +194,7 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text
     Null keys and labels are ignored; a key with several labels takes their majority, good on a
     tie; of rows with one key, that with the smallest hash counts. Equal texts are one candidate for
     a pseudo-label. Only features of the labelled rows and of the surest ones reach the driver,
-    some 4 KB a row, and they are held there once. None if there are fewer than three rows of either class.
+    some 4 KB a row, and labelled rows are held there once. None if there are fewer than three rows of either class.
     """
     good = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("k")).agg((F.avg(label) >= 0.5).cast("double").alias("y"))
     ids = df.select(F.col(key).alias("k")).filter("k is not null").distinct()
@@ -210,7 +211,7 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text
     order = np.argsort(-y, kind="stable")
     x = np.empty((len(y), N_TEXT + N_META))
     for i, k in enumerate(order.tolist()):
-        x[i] = np.frombuffer(got["x"][k].as_buffer(), np.float64)
+        x[i] = np.frombuffer(zlib.decompress(got["x"][k].as_buffer()), np.float64)
     y, got = y[order], None
     release(df.sparkSession)
     model = co_train(x[:, :N_TEXT], x[:, N_TEXT:], y, lambda *a: _surest(others, *a), rounds)
@@ -257,9 +258,11 @@ def _surest(others: DataFrame, text: Logistic, meta: Logistic, counts: tuple[int
 
 
 def _features_udf():
+    """A row's features, compressed: most are zero."""
+
     @F.pandas_udf("binary")
     def vectors(t: pd.Series, lang: pd.Series, source: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([np.concatenate([text_features(a), meta_features(b, c, d)]).tobytes() for a, b, c, d in zip(t, lang, source, n)], dtype=object)
+        return pd.Series([zlib.compress(np.concatenate([text_features(a), meta_features(b, c, d)]).tobytes(), 1) for a, b, c, d in zip(t, lang, source, n)], dtype=object)
 
     return vectors
 

@@ -94,7 +94,7 @@ def _common(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
 
     part = rows.sample(min(1.0, SAMPLE / max(1, rows.count())), seed=SEED).select("text")
     top = part.mapInArrow(run, "h bigint").groupBy("h").count().filter(F.col("count") >= COMMON)
-    got = top.orderBy(F.desc("count"), "h").limit(KEPT).toArrow()  # as rows, these take the driver some 20 MB
+    got = top.orderBy(F.desc("count"), "h").limit(KEPT).toArrow()  # as columns, not as a row each
     found, counts = got["h"].to_numpy().view(np.uint64), got["count"].to_numpy()
     order = np.argsort(found)
     return found[order], counts[order]
@@ -154,7 +154,6 @@ def _verified(rows: DataFrame, sketches: DataFrame, pairs: DataFrame, width: int
     similar = 9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))
     out = materialize(both.filter(similar).select("a", "b"), "shingles-links")
     drop_scratch(pairs, sets)
-    release(rows.sparkSession)
     return out
 
 
@@ -248,7 +247,6 @@ def drop_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text",
     classes = materialize(found.groupBy("set").agg(F.min(order).alias("first")).select("first"), "shingles-classes")
     nodes = materialize(found.join(classes.select(F.col("first.uid").alias("uid")), "uid", "left_semi").drop("doc_id", "set"), "shingles-nodes")
     drop_scratch(found)
-    release(df.sparkSession)
     parts = materialize(connected_components(links(rows, nodes, width, bucket)), "shingles-parts")
     linked = classes.join(parts, F.col("first.uid") == F.col("node"))
     alone = classes.join(parts, F.col("first.uid") == F.col("node"), "left_anti").select("first.uid")
